@@ -7,9 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The word rule of every contract, in Python and in Java syntax.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -75,31 +77,29 @@ def running_total(df: DataFrame, keys: Sequence[Column], value: str, out: str, l
     """Adds `out`, the sum of `value` over all rows before this one in the global order of keys.
 
     Rows are dealt by range and written once, so that a rerun of a task can't change the order. Each partition then adds
-    up its own rows, and starts from the total of the partitions before it: one number for each partition reaches the driver.
+    up its own rows in turn, and starts from the total of the partitions before it: one number for each partition reaches the driver.
     The keys must be a total order but for rows that are equal in every column.
     """
-    spark = df.sparkSession
-    n = partitions_for(df)
-    ordered = materialised(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), label)
-    sums = ordered.groupBy("_part").agg(F.sum(value).alias("total")).collect()
-    before, total = {}, 0
-    for row in sorted(sums, key=lambda r: r["_part"]):
-        before[row["_part"]] = total
-        total += row["total"] or 0
-    starts = spark.createDataFrame([(k, v) for k, v in before.items()] or [(-1, 0)], "_part int, _before long")
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy("_part", "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    # _at numbers a partition's rows in order: slices of it keep each window small, and slice totals are added up in turn.
-    sliced = ordered.withColumn("_slice", F.floor(F.pmod(F.col("_at"), F.lit(1 << 33)) / SLICE).cast("long"))
-    slices = sliced.groupBy("_part", "_slice").agg(F.sum(value).alias("_sum"))
-    slices = slices.withColumn("_ahead", F.coalesce(F.sum("_sum").over(Window.partitionBy("_part").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    joined = sliced.join(slices, ["_part", "_slice"]).join(F.broadcast(starts), "_part")
-    return joined.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_ahead") + F.col("_before")).drop("_part", "_slice", "_at", "_ahead", "_before")
-
-
-#: Rows of one window of a running total.
-SLICE = 4096
+    spark = tuned(df.sparkSession)
+    ordered = df.repartitionByRange(partitions_for(df), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            own = batch.column(value).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.cumsum(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - own + total, pa.int64())], names=[*batch.schema.names, out])
+            total += int(sums[-1]) if len(sums) else 0
+
+    counted = materialised(ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField(out, T.LongType())])), label)
+    before, total = [], 0
+    for row in sorted(counted.groupBy("_part").agg(F.max(F.col(out) + F.coalesce(value, F.lit(0))).alias("total")).collect(), key=lambda r: r["_part"]):
+        before.append((row["_part"], total))
+        total += row["total"]
+    starts = spark.createDataFrame(before, "_part int, _before long")
+    return counted.join(F.broadcast(starts), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+
+
 #: Into so many parts a lookup by a possibly hot key is dealt.
 SALTS = 32
 

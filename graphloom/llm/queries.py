@@ -9,6 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_round_trip
+from graphloom.llm.mixing import mixed
+from graphloom.llm.near_dup import near_duplicates
+from graphloom.llm.quality_rules import with_quality
+from graphloom.llm.warc import read_archives, write_archives
+
+
+#: sha1() is hexadecimal here; its 160 bits are read five at a time for base 32.
+OP6_SQL = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), largest AS (SELECT hex, max(page_id) AS top FROM payloads GROUP BY hex),
+digits AS (
+  SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((('0x' || substr(hex, 1 + 10 * CAST(k // 8 AS INTEGER), 10))::UBIGINT >> (35 - 5 * (k % 8))) & 31 AS INTEGER), 1), '' ORDER BY k) AS b32
+  FROM largest, range(32) AS t(k) GROUP BY hex
+)
+SELECT p.page_id, p.payload_bytes, d.b32 AS payload_digest,
+  CASE WHEN p.page_id IS NULL OR p.page_id = l.top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id IS NULL OR p.page_id = l.top THEN NULL ELSE l.top END AS refers_to
+FROM payloads p JOIN largest l USING (hex) JOIN digits d USING (hex)
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +51,35 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of each document, sources weighed 3, 1, 2 in turn."""
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "mix_at")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and the verdict of its histograms' divergence from its language."""
+    judged = with_quality(table(spark, sf_dir, "documents"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *(F.col(f"_{x}").alias(x) for x in names))
+
+
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back."""
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, and its component of documents linked at a similarity of 0.85."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_warc_zstd": op6_warc_zstd,
+    "op7_near_dup": op7_near_dup,
+}
+ORACLES: dict[str, str] = {
+    "op6_warc_zstd": OP6_SQL,
 }
-ORACLES: dict[str, str] = {}
