@@ -30,7 +30,7 @@ COMMON = {
 CLASSES = ["upper", "letter", "number", "space", "symbol", "other"]
 #: Least characters and words for the comparisons, and the distances beyond which a document is rejected.
 LEAST_CHARS_CLASS, LEAST_WORDS_COMMON = 120, 80
-MOST_CLASS, MOST_COMMON = 0.22, 0.36
+MOST_CLASS, MOST_COMMON = 0.18, 0.25
 #: Share that a bin gets at least, so that a bin that is new to a language counts without deciding alone.
 FLOOR = 1e-4
 
