@@ -121,7 +121,7 @@ def _sketches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
             prints.append(None)
             regs.append(None)
             bands.append(None)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "regs", "bands"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), columns["text_hash"], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n", "fp", "regs", "bands"])
 
 
 def _overlap(values: np.ndarray, other: np.ndarray) -> int:
@@ -140,15 +140,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, label: str = "near") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach), kept (doc_id = component_id) for each row.
+def near_duplicates(documents: DataFrame, percent: int = 85, label: str = "near", hashes: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach), kept (doc_id = component_id) for each row; with hashes, also text_hash, xxhash64 of the text.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null doc_id link with nothing, have a null
     component and are kept. Repeated rows have equal sets, so they share a component. Other columns are not read.
     """
     spark = tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketched = materialised(arrow_rows(docs, [F.col("doc_id"), F.col("text")], _sketches, "doc_id long, n long, fp binary, regs binary, bands array<long>"), f"{label}-sketch")
+    sketched = materialised(arrow_rows(docs, [F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash")], _sketches, "doc_id long, text_hash long, n long, fp binary, regs binary, bands array<long>"), f"{label}-sketch")
     classes = materialised(sketched.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first(F.struct("n", "regs", "bands")).alias("of")).select("fp", "low", "copies", "of.*"), f"{label}-classes")
 
     def rows() -> DataFrame:
@@ -193,9 +193,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, label: str = "near"
     placed = materialised(classes.select("fp", "low", "copies").join(roots, "fp", "left"), f"{label}-placed")
     lowest = placed.filter("top is not null").groupBy("top").agg(F.min("low").alias("component"))
     group = materialised(placed.filter("top is not null or copies > 1").join(materialised(lowest, f"{label}-lowest"), "top", "left").select("fp", F.coalesce("component", "low").alias("component")), f"{label}-groups")
-    out = sketched.select("doc_id", "n", "fp").join(group, "fp", "left")
+    out = sketched.select("doc_id", "text_hash", "n", "fp").join(group, "fp", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *["text_hash"] * hashes)
 
 
 def _passes(percent: int):
