@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from graphloom.queries import language
+    from graphloom.queries import architecture, language, search, traversal
 
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (language,):
+    for module in (language, search, traversal, architecture):
         found |= module.QUERIES
         sql |= module.ORACLES
     return found, sql

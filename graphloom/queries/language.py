@@ -66,8 +66,8 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT count(*) AS n FROM part WHERE (p_size < 5 OR p_size >= 48) AND NOT contains(p_type, 'STEEL') AND starts_with(p_name, 'Part')",
     ),
     "cy_regex": (
-        "MATCH (p:Part) WHERE p.type =~ '.*(STEEL|BRASS)' AND p.name =~ '.*1.*' RETURN p.type AS type, count(*) AS n",
-        "SELECT p_type AS type, count(*) AS n FROM part WHERE regexp_full_match(p_type, '.*(STEEL|BRASS)') AND regexp_full_match(p_name, '.*1.*') GROUP BY 1",
+        "MATCH (p:Part) WHERE p.type =~ '.*(A|E).*' AND p.name =~ '.*1.*' RETURN p.type AS type, count(*) AS n",
+        "SELECT p_type AS type, count(*) AS n FROM part WHERE regexp_full_match(p_type, '.*(A|E).*') AND regexp_full_match(p_name, '.*1.*') GROUP BY 1",
     ),
     "cy_with_having": (
         "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, sum(o.totalprice) AS total WHERE n > 15 RETURN c.name AS name, n, total",
