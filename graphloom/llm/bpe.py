@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +21,12 @@ from graphloom.llm.common import arrow_rows
 #: Stands for the end of a word inside token strings.
 END = "\0"
 #: Entries of a worker's caches; a full cache is emptied, so memory is bounded and results are the same.
-CACHE = 300_000
+CACHE = 600_000
 
 #: Unicode's white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Signs that end a word and are a piece of their own after letters, under any pattern of letters, numbers and others.
+STOPS = (",", ".", ";", ":", "!", "?")
 #: str.split() takes these for white space; the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -37,13 +38,14 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-#: Beyond this character none is a letter or a number; the regex module takes some for letters.
-LAST_LETTER = "\U0003347f"
+#: Characters that the regex module's newer tables call letters or numbers, and the tokenizer's don't.
+NEWER = [(0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F)]
+_newer = dict.fromkeys((c for a, b in NEWER for c in range(a, b + 1)), "\xa1")
 
 
 def stand_ins(text: str) -> str:
-    """The text with a sign for each character beyond the last letter, for the splitting pattern."""
-    return text if text.isascii() or max(text) <= LAST_LETTER else "".join(c if c <= LAST_LETTER else "\xa1" for c in text)
+    """The text with a sign in place of each newer letter, for the splitting pattern."""
+    return text if text.isascii() else text.translate(_newer)
 
 
 class PrefixBpe:
@@ -63,7 +65,7 @@ class PrefixBpe:
         self.tokens = {self._inner(t): i for t, i in model["vocab"].items()}
         self.strings = {i: t for t, i in self.tokens.items()}
         self.rank = {tuple(map(self._inner, pair if isinstance(pair, list) else pair.split(" "))): n for n, pair in enumerate(model["merges"])}
-        self.letters = byte_alphabet()
+        self.letters = dict(enumerate(byte_alphabet()))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", WHITE))
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -71,7 +73,7 @@ class PrefixBpe:
         for text, token in self.tokens.items():
             self.automaton.add_word(text, (token, len(text)))
         self.automaton.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         self._chunks: dict[str, tuple[bytes, bytes, int]] = {}
 
@@ -104,44 +106,69 @@ class PrefixBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the characters of the two tokens encode to just these two."""
-        known = self._pairs.get((left, right))
+        known = self._pairs.get(left << 32 | right)
         if known is None:
             a, b = self.strings[left], self.strings[right]
-            if len(self._pairs) >= 4 * CACHE:
+            if len(self._pairs) >= 2 * CACHE:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(self._symbols(a) + self._symbols(b)) == [a, b]
+            known = self._pairs[left << 32 | right] = self.merged(self._symbols(a) + self._symbols(b)) == [a, b]
         return known
 
     def word(self, piece: str) -> list[int]:
         """Ids of one piece of text, in which no pattern boundary falls."""
-        text = "".join(self.letters[b] for b in piece.encode()) + (END if self.suffix else "")
+        text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        if self.suffix:
+            text += END
         whole = self.tokens.get(text)
         if whole is not None and self.stands(whole):
             return [whole]
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        for end, (token, length) in self.automaton.iter(text):
-            at, start = end + 1, end + 1 - length
-            if last[at] is None and (self.stands(token) if start == 0 else last[start] is not None and self.compatible(last[start][0], token)):
-                last[at] = token, start
-        ids, at = [], len(text)
+        size, pairs, alone = len(text), self._pairs, self._alone
+        last, length = [-1] * (size + 1), [0] * (size + 1)
+        for end, (token, n) in self.automaton.iter(text):
+            at = end + 1
+            if last[at] >= 0:
+                continue
+            if n == at:
+                if not (alone[token] if token in alone else self.stands(token)):
+                    continue
+            else:
+                before = last[at - n]
+                if before < 0:
+                    continue
+                fits = pairs.get(before << 32 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[at], length[at] = token, n
+        ids, at = [], size
         while at:
-            token, at = last[at]
-            ids.append(token)
-        return ids[::-1]
-
-    def _plain(self, text: str) -> Iterator[int]:
-        text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
+            ids.append(last[at])
+            at -= length[at]
+        ids.reverse()
+        return ids
+
+    def _plain(self, text: str) -> list[int]:
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()  # the tokenizer lowers a capital sigma alike everywhere
+        if text.isalpha():
+            return self.word(text)
+        if text[-1:] in STOPS and text[:-1].isalpha():
+            return self.word(text[:-1]) + self.word(text[-1])
+        ids: list[int] = []
         for piece in self.pieces.finditer(stand_ins(text)):
-            yield from self.word(text[piece.start() : piece.end()])
+            ids += self.word(text[piece.start() : piece.end()])
+        return ids
 
     def chunk(self, text: str) -> tuple[bytes, bytes, int]:
         """Packed ids, decoded UTF-8 and number of tokens of a text without white space inside words; cached."""
         known = self._chunks.get(text)
         if known is None:
             ids: list[int] = []
-            for part in self.around.split(text) if self.around else [text]:
-                ids += [self.special[part]] if part in self.special else self._plain(part)
+            if any(x in text for x in self.special):
+                for part in self.around.split(text):
+                    ids += [self.special[part]] if part in self.special else self._plain(part)
+            else:
+                ids = self._plain(text)
             if len(self._chunks) >= CACHE:
                 self._chunks.clear()
             known = self._chunks[text] = array("I", ids).tobytes(), self.decode(ids).encode(), len(ids)
