@@ -1,0 +1,90 @@
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as t
+from graphloom.operators import records as r
+from graphloom.operators import resolve as j
+from graphloom.operators import vector as v
+from graphloom.sources import delta, repository
+from graphloom.sources.languages import language_of
+from graphloom.streaming import feed
+
+
+def one(spark, use, *values):
+    df = spark.createDataFrame([(x,) for x in values], "x string")
+    return [r.y for r in df.select(use(F.col("x")).alias("y")).collect()]
+
+
+def test_text(spark):
+    assert one(spark, t.canonical_route, "/a/:id/b", "/a/{id}", "/a/<int:id>", "/a/${x}", "/a/b:c") == ["/a/{}/b", "/a/{}", "/a/{}", "/a/{}", "/a/b:c"]
+    assert one(spark, t.package_of, "a.b.c.d", "a.b", "a") == ["c", "b", ""]
+    assert one(spark, t.expanded_tokens, "getErrMsg") == [["get", "err", "msg", "error", "message"]]
+    assert one(spark, t.scrubbed, "x [REDACTED:ghp_] y") == ["x [REDACTED:ghp_] y"]
+    assert one(spark, lambda x: t.qualified_name(F.lit("p"), x), "src/a.py", ".env", "../x") == ["p.src.a", "p..env", ""]
+    assert one(spark, t.config_key, "maxRetryCount", "http.port") == ["max_retry_count", "http_port"]
+    assert one(spark, language_of, "a/b.py", "Dockerfile", "x.unknown", "m.GO") == ["Python", "Dockerfile", "", "Go"]
+    assert one(spark, lambda x: repository.ignored(x, ["*.log", "build/", "!keep.log", "/docs/*.md"]), "a/x.log", "keep.log", "build/x/y", "docs/a.md", "sub/docs/a.md") == [True, False, True, True, False]
+
+
+def test_registry(spark):
+    symbols = spark.createDataFrame([(x,) for x in ("p.a.helper", "p.b.save", "p.Alpha.save", "p.Beta.save", "p.m.Foo.bar", "p.only.lonely")], "qualified_name string")
+    imports = spark.createDataFrame([("p.x", "b", "p.b")], "module string, alias string, target string")
+    calls = spark.createDataFrame([(1, "p.a", "helper", []), (2, "p.x", "b.save", []), (3, "p.x", "Foo.bar", []), (4, "p.x", "lonely", ["p.only"]), (5, "p.x", "save", ["p.Beta"]), (6, "p.x", "none", [])], "call_id int, module string, callee string, imports array<string>")
+    got = {r.call_id: (r.qualified_name, r.strategy, round(r.confidence, 3), r.band) for r in j.resolve(calls, symbols, imports).collect()}
+    assert got == {1: ("p.a.helper", "same_module", 0.9, "high"), 2: ("p.b.save", "import_map", 0.95, "high"), 3: ("p.m.Foo.bar", "qualified_suffix", 0.9, "high"), 4: ("p.only.lonely", "unique_name", 0.75, "high"), 5: ("p.Beta.save", "suffix_match", 0.55, "medium")}
+
+
+def test_records(spark):
+    rows = spark.createDataFrame([("message", "a", 5, "x", None, None, "t", None), ("decision", "b", 7, "y", "p.q", None, None, None)], r.SCHEMA)
+    s = r.built(rows)
+    assert r.appended(s, s).count() == 2 and r.verified(s).count() == 2
+    assert r.digest(r.appended(s.limit(1), s)).first().digest == r.digest(s).first().digest
+    assert r.query(s, r.RecordQuery(anchor_prefix="p.")).count() == 1
+    for bad in (r.RecordQuery(anchored=False, anchor="x"), r.RecordQuery(since=2, until=1)):
+        with pytest.raises(r.RecordError):
+            r.query(s, bad)
+    with pytest.raises(r.RecordError):
+        r.query(None, r.RecordQuery())
+    with pytest.raises(r.RecordError):
+        r.appended(s, s.withColumn("content", F.lit("z")))
+
+
+def test_feed_stream_and_versions(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.jsonl").write_text('{"author": "a", "timestamp_ms": 5, "content": "see ghp_abcdefghijklmnopqrstuvwxyz1"}\nnot json\n{"author": "a", "content": "no time"}\n')
+    where = [str(tmp_path / x) for x in ("store", "ck")]
+    feed.watch(spark, str(inbox), *where).awaitTermination()
+    assert delta.read_version(spark, f"{where[0]}/records").first().content == "see [REDACTED:ghp_]"
+    assert sorted(r.reason for r in delta.read_version(spark, f"{where[0]}/dead_letters").collect()) == ["no time of its own", "not a JSON object"]
+    (inbox / "b.jsonl").write_text('{"author": "b", "timestamp_ms": 6, "content": "more"}\n')
+    feed.watch(spark, str(inbox), *where).awaitTermination()
+    assert delta.read_version(spark, f"{where[0]}/records").count() == 2 and delta.generation(spark, f"{where[0]}/records") == "g2"
+    assert [feed.poll_seconds(n) for n in (0, 500, 10**6)] == [5, 6, 60]
+
+
+def test_p99_and_durations(spark):
+    rows = spark.createDataFrame([("a", 10 * k) for k in range(1, 11)] + [("b", 42)], "k string, v int")
+    assert {r.k: r.p99 for r in feed.p99(rows, ["k"], "v").collect()} == {"a": 100, "b": 42}
+    d = spark.createDataFrame([(1000, 1050), (5, 5), (None, 1)], "s long, e long").select(feed.duration(F.col("s"), F.col("e")).alias("d"))
+    assert [r.d for r in d.collect()] == [50, 0, 0]
+
+
+def test_vectors(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    assert [r.vec_id for r in v.nearest(e, [1.0, 0.0], 2).collect()] == [1, 3]
+    for bad in ([2.0, 0.0], [1.0]):
+        with pytest.raises(v.VectorError):
+            v.nearest(e, bad)
+    assert v.ask(None, None, [1.0], "m").state == "no index" and v.ask(e, {"model": "x", "dim": 2}, [1.0, 0.0], "m").state == "model mismatch"
+    pairs = spark.createDataFrame([(1, k, 0.9 - k / 100) for k in range(2, 9)], "a int, b int, score double")
+    assert sorted(r.b for r in v.budgeted(pairs, 0.8, 3).collect()) == [2, 3, 4]
+
+
+def test_git_readers(spark):
+    log = spark.createDataFrame(list(enumerate(["COMMIT:abc:5", "", "a.py", "b.py", "COMMIT:def:6", "a.py"])), "at int, value string")
+    assert sorted(map(tuple, repository.commits(log).collect())) == [("abc", 5, "a.py"), ("abc", 5, "b.py"), ("def", 6, "a.py")]
+    diff = spark.createDataFrame(list(enumerate(["+++ b/x.py", "@@ -1,2 +3,4 @@ f", "@@ -9 +11,0 @@", "+++ /dev/null", "@@ -1 +0,0 @@"])), "at int, value string")
+    assert sorted(map(tuple, repository.hunks(diff).collect())) == [("x.py", 3, 6), ("x.py", 11, 11)]
+    c = j.change_coupling(spark.createDataFrame([(k, k, f) for k in range(3) for f in ("a", "b")] + [(9, 9, "a"), (9, 9, "c")], "commit int, ts int, file string"))
+    assert [tuple(r) for r in c.collect()] == [("a", "b", 3, 1.0, 2)]
