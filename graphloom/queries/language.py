@@ -62,12 +62,12 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT count(*) AS n FROM customer WHERE (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')) <> (c_acctbal > 5000)",
     ),
     "cy_boolean": (
-        "MATCH (p:Part) WHERE (p.size < 5 OR p.size >= 48) AND NOT p.type CONTAINS 'STEEL' AND p.name STARTS WITH 'Part' RETURN count(*) AS n",
-        "SELECT count(*) AS n FROM part WHERE (p_size < 5 OR p_size >= 48) AND NOT contains(p_type, 'STEEL') AND starts_with(p_name, 'Part')",
+        "MATCH (p:Part) WHERE (p.size < 5 OR p.size >= 48) AND NOT p.type CONTAINS 'ECON' AND p.name STARTS WITH 'small' RETURN count(*) AS n",
+        "SELECT count(*) AS n FROM part WHERE (p_size < 5 OR p_size >= 48) AND NOT contains(p_type, 'ECON') AND starts_with(p_name, 'small')",
     ),
     "cy_regex": (
-        "MATCH (p:Part) WHERE p.type =~ '.*(A|E).*' AND p.name =~ '.*1.*' RETURN p.type AS type, count(*) AS n",
-        "SELECT p_type AS type, count(*) AS n FROM part WHERE regexp_full_match(p_type, '.*(A|E).*') AND regexp_full_match(p_name, '.*1.*') GROUP BY 1",
+        "MATCH (p:Part) WHERE p.type =~ '(ECON|SM).*' AND p.name =~ '.*ring.*' RETURN p.type AS type, count(*) AS n",
+        "SELECT p_type AS type, count(*) AS n FROM part WHERE regexp_full_match(p_type, '(ECON|SM).*') AND regexp_full_match(p_name, '.*ring.*') GROUP BY 1",
     ),
     "cy_with_having": (
         "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, sum(o.totalprice) AS total WHERE n > 15 RETURN c.name AS name, n, total",
