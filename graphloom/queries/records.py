@@ -40,8 +40,9 @@ def _delta(spark, sf_dir):
 
 
 IMAGE = "'record/1' || chr(10) || 'kind:7:message' || chr(10) || 'author:' || strlen(role) || ':' || role || chr(10) || 'timestamp_ms:' || strlen((conv_id * 1000 + turn + 1)::VARCHAR) || ':' || (conv_id * 1000 + turn + 1) || chr(10) || 'content:' || strlen(text) || ':' || text || chr(10) || 'anchor:-:' || chr(10) || 'origin:' || strlen('c:' || conv_id || '@' || turn) || ':c:' || conv_id || '@' || turn || chr(10) || 'thread:' || strlen(conv_id::VARCHAR) || ':' || conv_id || chr(10) || 'parent:-:' || chr(10)"
-QUERIES = {"rm_query": _query, "rm_union": _union, "rm_thread": _thread, "st_p99": _p99, "st_delta": _delta}
+QUERIES = {"rm_digest": lambda spark, sf_dir: r.digest(_records(spark, sf_dir)), "rm_query": _query, "rm_union": _union, "rm_thread": _thread, "st_p99": _p99, "st_delta": _delta}
 ORACLES = {
+    "rm_digest": f"WITH i AS (SELECT sha256({IMAGE}) AS id FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL), g AS (SELECT substr(id, 1, 3) AS g, count(*) AS n, sha256(string_agg(id, '' ORDER BY id)) AS d FROM i GROUP BY 1) SELECT sum(n)::BIGINT AS records, sha256(string_agg(d, '' ORDER BY g)) AS digest FROM g",
     "rm_query": f"SELECT sha256({IMAGE}) AS id, (conv_id * 1000 + turn + 1)::BIGINT AS timestamp_ms FROM conversations WHERE role = 'user' AND text IS NOT NULL AND conv_id * 1000 + turn + 1 BETWEEN 5000 AND 40000",
     "rm_union": "SELECT role AS author, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) GROUP BY 1",
     "rm_thread": "SELECT (conv_id * 1000 + turn + 1)::BIGINT AS timestamp_ms, role AS author, text AS content FROM conversations WHERE conv_id = 12 AND text IS NOT NULL AND role IS NOT NULL",
