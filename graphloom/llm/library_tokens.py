@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 #: Entries of a worker's cache; a full cache is emptied.
-CACHE = 500_000
-#: A single space between two characters that aren't both white space always starts a piece of the GPT-2 pattern. Elsewhere the whole text goes to the library.
-_unsafe = re.compile(r"\s \s|^ | \Z")
+CACHE = 1_100_000
+#: Signs that are a piece of their own after letters and before white space or the end.
+STOPS = (",", ".", ";", ":", "!", "?")
 
 
 class WordwiseTokenizer:
     """A byte-level BPE of the tokenizers library: encode(texts) gives what the library gives for each whole text.
 
-    Its pattern never joins characters across such a space, so the words between are encoded, by the library, once.
+    Its pattern starts a piece at a single space between two characters that aren't white space, so the words between
+    such spaces can be encoded, by the library, once. Inside a word, letters end at a stop, and a single line feed between
+    words is a piece of its own. Texts with other arrangements of white space, or a special token, go to the library whole.
     """
 
     def __init__(self, definition: str):
@@ -26,26 +27,73 @@ class WordwiseTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        #: Ids of words after a space, and of words that start a text or a line; False for what can't be taken apart.
+        self.spaced: dict[str, bytes | bool] = {}
+        self.bare: dict[str, bytes | bool] = {}
+        self.fixed = dict(zip((*STOPS, "\n"), self._whole([*STOPS, "\n"]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, word: str) -> list[str] | None:
+        """The word's lines, if each is one word and none is empty; the word alone if white space is inside otherwise; None if the word isn't safe."""
+        if not word or word[0].isspace() or word[-1].isspace() or any(s in word for s in self.special):
+            return None
+        lines = word.split("\n")
+        return lines if len(lines) == 1 or all(x.split() == [x] for x in lines) else [word]
+
+    def _learn(self, spaced: set[str], bare: set[str]) -> None:
+        need: tuple[dict[str, None], dict[str, None]] = ({}, {})
+        tables, plans = (self.bare, self.spaced), []
+        for words, lead in ((spaced, 1), (bare, 0)):
+            for w in words:
+                if w.isalpha():
+                    need[lead][w] = None
+                    continue
+                if w[-1:] in STOPS and w[:-1].isalpha():
+                    parts = [(lead, w[:-1], w[-1])]
+                else:
+                    lines = self._lines(w)
+                    if lines is None:
+                        tables[lead][w] = False
+                        continue
+                    parts = [(lead * (k == 0), x[:-1], x[-1]) if x[-1] in STOPS and x[:-1].isalpha() else (lead * (k == 0), x, "") for k, x in enumerate(lines)]
+                plans.append((lead, w, parts))
+                for at, x, _ in parts:
+                    if x not in tables[at]:
+                        need[at][x] = None
+        ids = self._whole([" " + w for w in need[1]] + list(need[0]))
+        self.spaced.update(zip(need[1], ids[: len(need[1])], strict=True))
+        self.bare.update(zip(need[0], ids[len(need[1]) :], strict=True))
+        for lead, w, parts in plans:
+            if len(parts) > 1 or parts[0][2]:
+                tables[lead][w] = self.fixed["\n"].join([tables[at][x] + self.fixed[stop] if stop else tables[at][x] for at, x, stop in parts])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; null is an empty text."""
-        plan: list[list[str] | None] = []
+        if len(self.spaced) + len(self.bare) > CACHE:
+            self._reset()
+        split, found, spaced, bare = [], [], set(), set()
         for t in texts:
-            if not t or _unsafe.search(t) or any(s in t for s in self.special):
-                plan.append(None)
-            else:
-                first, *rest = t.split(" ")
-                plan.append([first, *[" " + w for w in rest]])
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in plan if words for w in words if w not in known})
-        known.update(zip(new, self._whole(new), strict=True))
-        return [b"".join(map(known.__getitem__, words)) if words else self._whole([t])[0] if t else b"" for t, words in zip(texts, plan, strict=True)]
+            first, *words = t.split(" ") if t else ("",)
+            ids = list(map(self.spaced.get, words))
+            split.append((first, words))
+            found.append(ids)
+            if None in ids:
+                spaced.update([w for w, x in zip(words, ids, strict=True) if x is None])
+            if first not in self.bare:
+                bare.add(first)
+        self._learn(spaced, bare)
+        out = []
+        for t, (first, words), ids in zip(texts, split, found, strict=True):
+            if None in ids:
+                ids = list(map(self.spaced.__getitem__, words))
+            head = self.bare[first]
+            out.append(b"" if not t else self._whole([t])[0] if head is False or False in ids else head + b"".join(ids))
+        return out
 
 
 _made: dict[int, tuple[str, WordwiseTokenizer]] = {}

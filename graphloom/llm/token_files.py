@@ -60,10 +60,16 @@ def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    top = int(ids.max()) if len(ids) else 0
+    if top < 1 << 22:  # a vocabulary's ids: counted by place
+        counts = np.bincount(ids)
+        distinct, place = np.flatnonzero(counts).astype(np.uint32), ids
+        counts = counts[distinct]
+    else:
+        distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((distinct, -counts))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
+    rank = np.empty(top + 1 if place is ids else len(order), np.uint32)
+    rank[distinct[order] if place is ids else order] = np.arange(len(order), dtype=np.uint32)
     control, data = packed(rank[place] if len(ids) else np.empty(0, np.uint32))
     body = b"".join([distinct[order].astype("<u4").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), control, data])
     return HEADER.pack(MAGIC, len(doc_ids), len(ids), len(distinct), len(control), len(data), zlib.crc32(body)) + body
