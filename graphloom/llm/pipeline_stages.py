@@ -19,8 +19,11 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules, with references from this input, reject."""
-    return with_quality(docs).filter("_kept").select(docs.columns)
+    """Without the documents that the quality rules, with references from this input, reject.
+
+    Verdicts are written before they are used: a filter on them would otherwise be pushed down through every expression behind them.
+    """
+    return materialised(with_quality(docs).select(*docs.columns, "_kept"), "pipeline-rules").filter("_kept").select(docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
