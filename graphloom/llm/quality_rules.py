@@ -63,25 +63,24 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
 
 
-def _without(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, ""))
+def _only(column: str, but: str) -> Column:
+    return F.length(F.regexp_replace(F.col(column), but, ""))
 
 
 def histograms(documents: DataFrame, text: str, lang: str) -> DataFrame:
     """Adds _words, _chars, the class counts _class0.. and the common-word counts _common0.. of each row's text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    df = documents.withColumn("_words", words_of(F.col(text))).withColumn("_chars", F.length(body))
-    chars = F.col("_chars")
-    counts = {"upper": _without(body, "[^\\p{Lu}]+"), "number": _without(body, "[^\\p{N}]+"), "space": chars - F.length(F.translate(body, SPACES, "")), "symbol": chars - F.length(F.translate(body, SYMBOLS, "")), "letter": _without(body, "[^\\p{L}]+")}
-    df = df.withColumns({f"_{k}": v for k, v in counts.items()})
-    rest = chars - F.col("_letter") - F.col("_number") - F.col("_space") - F.col("_symbol")
-    classes = [F.col("_upper"), F.col("_letter") - F.col("_upper"), F.col("_number"), F.col("_space"), F.col("_symbol"), rest]
+    # Most of a text is small letters and spaces: one pass takes them out, and the other classes are counted in the rest.
+    df = documents.withColumn("_words", words_of(F.col(text))).withColumn("_chars", F.length(body)).withColumn("_rest", F.regexp_replace(body, "[\\p{Ll}\\x20\\x09-\\x0D]+", ""))
+    df = df.withColumns({"_solid": F.length(F.array_join("_words", "")), "_rest_n": F.length("_rest"), "_upper": _only("_rest", "[^\\p{Lu}]+"), "_letter": _only("_rest", "[^\\p{L}]+"), "_number": _only("_rest", "[^\\p{N}]+"), "_symbol": F.length("_rest") - F.length(F.translate(F.col("_rest"), SYMBOLS, ""))})
+    c = F.col
+    classes = [c("_upper"), c("_solid") - c("_rest_n") + c("_letter") - c("_upper"), c("_number"), c("_chars") - c("_solid"), c("_symbol"), c("_rest_n") - c("_letter") - c("_number") - c("_symbol")]
     listed = F.lit(None).cast("array<string>")
     for name, common in COMMON.items():
         listed = F.when(F.col(lang) == name, F.array(*map(F.lit, common))).otherwise(listed)
     size = F.size("_words")
     found = F.transform(listed, lambda x: size - F.size(F.array_remove(F.col("_words"), x)))
-    df = df.withColumns({f"_class{k}": c for k, c in enumerate(classes)}).withColumn("_common", found).drop(*(f"_{k}" for k in counts))
+    df = df.withColumns({f"_class{k}": c for k, c in enumerate(classes)}).withColumn("_common", found).drop("_rest", "_rest_n", "_upper", "_letter", "_number", "_symbol")
     return df
 
 
@@ -116,15 +115,21 @@ def references(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     return found
 
 
-def js_distance(shares: list[Column], reference: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, from shares to a reference: 0 for equal histograms, 1 for disjoint ones."""
-    total = F.lit(0.0)
-    for p, q in zip(shares, reference, strict=True):
-        mean = (p + F.lit(q)) / 2
-        total = total + F.when(p > 0, p * F.log2(p / mean)).otherwise(0.0) + F.lit(q) * F.log2(F.lit(q) / mean)
+def divergence(shares: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance, base 2, between two arrays of shares: 0 for equal histograms, 1 for disjoint ones."""
+
+    def term(p: Column, q: Column) -> Column:
+        mean = (p + q) / 2
+        return F.when(p > 0, p * F.log2(p / mean)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / mean)).otherwise(0.0)
+
+    total = F.aggregate(F.zip_with(shares, reference, term), F.lit(0.0), lambda s, x: s + x)
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def js_distance(shares: list[Column], reference: list[float]) -> Column:
+    return divergence(F.array(*shares), F.array(*map(F.lit, reference)))
+
+
 def with_quality(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """documents with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _js_class, _js_common, _kept.
 
@@ -138,17 +143,18 @@ def with_quality(documents: DataFrame, text: str = "text", lang: str = "lang") -
     group = F.when(F.col(lang).isin(*COMMON), F.col(lang)).otherwise(F.lit(""))
 
     def distance(kind: str) -> Column:
-        out = F.lit(None).cast("double")
+        # One expression, with the row's reference chosen inside it, so that plans stay small.
+        wanted = F.lit(None).cast("array<double>")
         for name, kinds in known.items():
             if kind in kinds:
-                out = F.when((group == name) & _long_enough(kind), js_distance(shares[kind], kinds[kind])).otherwise(out)
-        return out
+                wanted = F.when(group == name, F.array(*map(F.lit, kinds[kind]))).otherwise(wanted)
+        return F.when(_long_enough(kind), divergence(F.array(*shares[kind]), wanted))
 
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     df = df.withColumns({
         "_n_words": F.size("_words").cast("long"),
-        "_word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
+        "_word_chars": F.col("_solid").cast("long"),
         "_n_symbols": F.col("_class4").cast("long"),
         "_n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "_n_repeat_words": repeated_words(F.col("_words")).cast("long"),
@@ -157,4 +163,4 @@ def with_quality(documents: DataFrame, text: str = "text", lang: str = "lang") -
     })
     df = df.withColumn("_base_failed", (F.col("_n_words") < LEAST_WORDS) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * REPEAT_PERCENT))
     df = df.withColumn("_kept", ~F.col("_base_failed") & (F.coalesce("_js_class", F.lit(0.0)) <= MOST_CLASS) & (F.coalesce("_js_common", F.lit(0.0)) <= MOST_COMMON))
-    return df.drop("_words", "_chars", "_common", *(f"_class{k}" for k in range(len(CLASSES))))
+    return df.drop("_words", "_chars", "_solid", "_common", *(f"_class{k}" for k in range(len(CLASSES))))
