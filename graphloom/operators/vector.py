@@ -113,6 +113,22 @@ def co_occurrence(tokens: DataFrame, window: int = 5) -> DataFrame:
     return ways.join(shifted, ["doc", "place"]).groupBy("token", "near").agg(F.sum(1.0 / F.abs("step")).alias("weight"))
 
 
+def co_occurrence_of(texts: DataFrame, tokens: str, window: int = 5) -> DataFrame:
+    """What co_occurrence gives, of texts with an array of tokens each: pairs are made within a row, so tokens needn't be joined.
+
+    Each pair is counted once, under its lesser token first, and turned around after the sums.
+    """
+    t = F.col("_t")
+
+    def ahead(k: int) -> Column:
+        left = F.greatest(F.size(t) - k, F.lit(0))
+        return F.zip_with(F.slice(t, F.lit(1), left), F.slice(t, F.lit(k + 1), left), lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.lit(1.0 / k).alias("w")))
+
+    sums = texts.select(F.col(tokens).alias("_t")).select(F.inline(F.concat(*(ahead(k) for k in range(1, window + 1))))).groupBy("x", "y").agg(F.sum("w").alias("w"))
+    ways = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("token"), F.col("y").alias("near"), (2 * F.col("w")).alias("weight")))).otherwise(F.array(F.struct(F.col("x").alias("token"), F.col("y").alias("near"), F.col("w").alias("weight")), F.struct(F.col("y").alias("token"), F.col("x").alias("near"), F.col("w").alias("weight"))))
+    return sums.select(F.inline(ways))
+
+
 # Combined similarity
 #: Weights of the signals.
 WEIGHTS = {"tfidf": 0.20, "ri": 0.25, "minhash": 0.10, "api": 0.15, "type": 0.10, "decorator": 0.05, "profile": 0.10}

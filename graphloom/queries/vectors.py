@@ -39,8 +39,7 @@ def _tfidf(spark, sf_dir):
 
 
 def _co(spark, sf_dir):
-    d = _documents(spark, sf_dir).filter("id < 50").select(F.col("id").alias("doc"), F.posexplode("tokens").alias("at", "token"))
-    return v.co_occurrence(d, 2).filter("weight > 20").select("token", "near", F.round("weight", 4).alias("weight"))
+    return v.co_occurrence_of(_documents(spark, sf_dir), "tokens", 2).filter("weight > 20").select("token", "near", F.round("weight", 4).alias("weight"))
 
 
 def _label_means(spark, sf_dir):
