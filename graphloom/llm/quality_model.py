@@ -28,6 +28,20 @@ BUCKETS, SAMPLE_ROWS = 1 << 14, 6000
 #: Rows whose probability of being junk is higher are rejected.
 MOST_JUNK = 0.5
 CACHE = 400_000
+#: Words of a window in which distinct words are counted.
+WINDOW = 200
+
+
+def diversity(words: list[str]) -> float:
+    """The mean share of distinct words over consecutive windows of a text of at least one word.
+
+    Windows are of one size, so the share doesn't fall with the length of the text; the last one ends with the text, and so may overlap the one before.
+    """
+    n = len(words)
+    if n <= WINDOW:
+        return len(set(words)) / n
+    starts = [*range(0, n - WINDOW, WINDOW), n - WINDOW]
+    return sum(len(set(words[k : k + WINDOW])) for k in starts) / (WINDOW * len(starts))
 
 
 def traits(text: str) -> dict[str, float]:
@@ -45,7 +59,7 @@ def traits(text: str) -> dict[str, float]:
         "marks": sum(1 for w in words if len(w) == 1 and not w.isalnum()) / n,
         "packed": len(zlib.compress(raw, 1)) / len(raw) if len(raw) >= 400 else 0.5,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
-        "kinds": len(set(words[:200])) / min(n, 200),
+        "kinds": diversity(words),
     }
 
 
@@ -104,7 +118,7 @@ _features: dict[str, tuple[int, int]] = {}
 def _shape(word: str) -> str:
     """Characters by class, runs as one: Aa. for "Word.", a$ for "word$$$"."""
     out = []
-    for c in word[:24]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if out[-1:] != [kind]:
             out.append(kind)
