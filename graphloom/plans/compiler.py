@@ -551,12 +551,19 @@ class Compiler:
         return out
 
 
-def cypher(graph: GraphView, text: str, project: str | None = None, max_rows: int = 0, shadow: str | None = None, most_hops: int = MOST_HOPS) -> DataFrame:
-    """The answer to a query, as a DataFrame of native types. project limits the graph; shadow names another graph of the same view; max_rows 0 is the ceiling."""
+def cypher(graph: GraphView, text: str, project: str | None = None, max_rows: int | None = 0, shadow: str | None = None, most_hops: int = MOST_HOPS) -> DataFrame:
+    """The answer to a query, as a DataFrame of native types. project limits the graph; shadow names another graph of the same view; max_rows 0 is the ceiling, for interactive use, and None is all rows."""
     if shadow is not None and shadow not in graph.shadows:
         raise CypherError(f"no graph {shadow}")
     g = (graph.shadows[shadow] if shadow is not None else graph).scoped(project)
-    return Compiler(g, most_hops).query(parsed(text)).limit(max_rows or MOST_ROWS)
+    df = Compiler(g, most_hops).query(parsed(text))
+    return df if max_rows is None else df.limit(max_rows or MOST_ROWS)
+
+
+def answered(graph: GraphView, text: str, max_rows: int = 0, **more: Any) -> tuple[DataFrame, bool]:
+    """What cypher gives under the ceiling, and whether the ceiling has cut rows off."""
+    df, most = cypher(graph, text, max_rows=None, **more), max_rows or MOST_ROWS
+    return df.limit(most), df.limit(most + 1).count() > most
 
 
 def as_strings(df: DataFrame) -> DataFrame:

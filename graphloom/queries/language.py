@@ -102,7 +102,7 @@ PAIRS: dict[str, tuple[str, str]] = {
 
 
 def _query(text: str):
-    return lambda spark, sf_dir: cypher(star_view(spark, sf_dir), text)
+    return lambda spark, sf_dir: cypher(star_view(spark, sf_dir), text, max_rows=None)
 
 
 QUERIES = {name: _query(text) for name, (text, _) in PAIRS.items()}

@@ -4,6 +4,8 @@ import re
 from collections import Counter
 
 from graphloom.operators import vector as v
+from graphloom.plans import compiler
+from graphloom.plans.model import star_view
 from graphloom.queries import all_queries
 
 
@@ -25,3 +27,15 @@ def test_co_occurrence_in_rows_as_by_place(spark):
     places = spark.createDataFrame([(d, k, w) for d, ws in rows for k, w in enumerate(ws)], "doc int, at int, token string")
     found = [{(r.token, r.near): round(r.weight, 6) for r in df.collect()} for df in (v.co_occurrence(places, 3), v.co_occurrence_of(spark.createDataFrame(rows, "doc int, tokens array<string>"), "tokens", 3))]
     assert found[0] == found[1]
+
+
+def test_language_queries_have_no_ceiling(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(compiler, "MOST_ROWS", 5)
+    customers = spark.read.parquet(f"{folder}/customer.parquet").count()
+    assert all_queries()[0]["cy_optional"](spark, folder).count() == customers > 5
+    text = "MATCH (c:Customer) RETURN c.name AS name"
+    graph = star_view(spark, folder)
+    assert compiler.cypher(graph, text).count() == 5
+    found = [compiler.answered(graph, text, n) for n in (0, customers - 1, customers)]
+    assert [(df.count(), cut) for df, cut in found] == [(5, True), (customers - 1, True), (customers, False)]
