@@ -149,16 +149,16 @@ def near_duplicates(documents: DataFrame, percent: int = 85, label: str = "near"
     spark = tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketched = materialised(arrow_rows(docs, [F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash")], _sketches, "doc_id long, text_hash long, n long, fp binary, regs binary, bands array<long>"), f"{label}-sketch")
-    classes = materialised(sketched.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first(F.struct("n", "regs", "bands")).alias("of")).select("fp", "low", "copies", "of.*"), f"{label}-classes")
+    classes = materialised(sketched.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("copies"), F.first(F.struct("n", "regs", "bands")).alias("of")).select("fp", F.col("least.doc_id").alias("low"), F.col("least.text_hash").alias("text_hash"), "copies", "of.*"), f"{label}-classes")
 
     def rows() -> DataFrame:
-        return classes.select("fp", "low", "n", F.explode("bands").alias("key"))
+        return classes.select("fp", "low", "text_hash", "n", F.explode("bands").alias("key"))
 
     buckets = materialised(rows().groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("low", "fp")).alias("first")).filter("c > 1").select("key", "c", F.col("first.fp").alias("first")), f"{label}-buckets")
     members = materialised(rows().join(buckets, "key"), f"{label}-members")
-    # Texts of all classes that share a bucket with another.
-    wanted = members.select("fp", F.col("low").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id").select("fp", "text")
+    # Texts of all classes that share a bucket with another. Rows with one doc_id may differ in text.
+    wanted = members.select("fp", F.col("low").alias("doc_id"), "text_hash").distinct()
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("fp", "text")
     texts = materialised(classes.select("fp", "n", "regs").join(texts, "fp").dropDuplicates(["fp"]), f"{label}-texts")
 
     stars = materialised(members.filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct(), f"{label}-stars")
