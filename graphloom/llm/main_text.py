@@ -26,14 +26,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = frozenset("nav aside footer header form menu button dialog fieldset search head".split())
 ARTICLE = frozenset(("article", "main"))
+#: Attributes that are looked at.
+MEANING = frozenset("class id role style hidden aria-hidden".split())
+#: Of RAW, those whose content is text up to the end tag; a page that lacks it ends with them. Others without an end are as if they weren't there.
+TEXT_ONLY = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Inside these, an end tag of a paragraph or item outside doesn't count.
+BARRIERS = ("article", "main", "body", "td", "th")
 #: What opens closes a paragraph, and an item of its own kind.
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 #: Parts of class names, ids and roles that mark what isn't the article, or what is.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright dialog disqus disclaimer donate footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription syndication tags toc toolbar tooltip topbar widget widgets".split())
 BODY = frozenset("article articlebody body content entry main post story text".split())
 
-_token = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|</[^>]*>", re.S)
-_attribute = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: What starts an element, as HTML reads it: quotes count right after an equals sign only; a tag or comment without an end goes to the end of the page.
+#: Possessive repeats, so that no place is read again. A quote that is never closed ends with the next ">".
+_value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
+_attribute = re.compile(rf"""(=?[^\s/>=]++)(?:\s*+=\s*+({_value}))?+|=""")
+_token = re.compile(rf"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{_value})?+|=)*+)(?:>|\Z)|</[^a-zA-Z][^>]*+(?:>|\Z)""", re.S)
 _parts = re.compile(r"[a-z]+(?=[A-Z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: The classifier's weights, and the capacities of the edges.
@@ -54,8 +63,11 @@ def _opened(tag: str, attributes: str, parent: _Open | None, number: int) -> _Op
         return _Open(tag, score + WEIGHTS["article"] * (not article), True, number)
     bad, body = tag in BOILERPLATE, False
     if attributes and not attributes.isspace() and tag not in ("body", "html"):
-        for name, *values in _attribute.findall(attributes):
-            value, name = "".join(values), name.lower()
+        for name, value in _attribute.findall(attributes):
+            name = name.lower()
+            if name not in MEANING:
+                continue
+            value = value[1:-1] if value[:1] in ("'", '"') and value[:1] == value[-1:] and len(value) > 1 else value
             if name == "style":
                 bad = bad or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif name == "hidden" or name == "aria-hidden":
@@ -70,13 +82,34 @@ def _opened(tag: str, attributes: str, parent: _Open | None, number: int) -> _Op
     return _Open(tag, score, article, number)
 
 
+class _Stack(list):
+    """Open elements, and where each name is in it, so that an end tag without a start, or with one far down, costs no search."""
+
+    def __init__(self):
+        super().__init__([_Open("", 0.0, False, 0)])
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, element: _Open) -> None:
+        self.places.setdefault(element.tag, []).append(len(self))
+        self.append(element)
+
+    def cut(self, size: int) -> None:
+        while len(self) > size:
+            self.places[self.pop().tag].pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of a name, 0 if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+
 def page_blocks(html: str) -> list[tuple[str, float, int]]:
-    """text, classifier score and container of each block of a page, in order."""
-    stack: list[_Open] = [_Open("", 0.0, False, 0)]
+    """text, classifier score and container of each block of a page, in order. Takes time in proportion to the page."""
+    stack = _Stack()
     blocks: list[tuple[str, float, int]] = []
     pieces: list[str] = []
     linked, in_link, number, at, size = 0, False, 0, 0, len(html)
-    lowered = ""
+    lowered, endless = "", set()
 
     def close() -> None:
         nonlocal linked
@@ -120,24 +153,25 @@ def page_blocks(html: str) -> list[tuple[str, float, int]]:
                 in_link = False
             elif tag in BLOCKS:
                 close()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in ("article", "main", "body", "td", "th") and tag in ("p", "li", "dd", "dt"):
-                        break
+                k = stack.last(tag)
+                if k and (tag not in ("p", "li", "dd", "dt") or k > max(map(stack.last, BARRIERS))):
+                    stack.cut(k)
                 in_link = False
             continue
-        if tag in RAW:
+        if tag in RAW and tag not in endless:
             if m[3].endswith("/") and tag in ("svg", "math"):
                 continue
             lowered = lowered or html.lower()
-            end = lowered.find(f"</{tag}", at) if len(lowered) == size else -1
-            if end < 0:
-                found = re.compile(f"</{tag}", re.I).search(html, at)
-                end = found.start() if found else -1
+            if len(lowered) != size:  # a few capitals have longer small forms
+                lowered = "".join(c.lower() if c.isascii() else c for c in html)
+            end = lowered.find(f"</{tag}", at)
+            while 0 <= end and end + len(tag) + 2 < size and lowered[end + len(tag) + 2] not in " \t\n\f\r/>":
+                end = lowered.find(f"</{tag}", end + 1)
             if end < 0:
-                break
+                if tag in TEXT_ONLY:
+                    break
+                endless.add(tag)
+                continue
             at = html.find(">", end) + 1 or size
             pieces.append(" ")
             continue
@@ -152,9 +186,9 @@ def page_blocks(html: str) -> list[tuple[str, float, int]]:
                 continue
             ends = SAME.get(tag, ()) + (("p",) if tag != "button" else ())
             while len(stack) > 1 and stack[-1].tag in ends:
-                stack.pop()
+                stack.cut(len(stack) - 1)
             number += 1
-            stack.append(_opened(tag, m[3], stack[-1], number))
+            stack.push(_opened(tag, m[3], stack[-1], number))
     close()
     return blocks
 
