@@ -50,3 +50,39 @@ def test_empty_and_blank(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.size, r.taken, r.target) for r in mixed(df).collect()) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
     assert mixed(df.limit(0)).count() == 0
+
+
+def test_servings_by_brute_force(spark):
+    """taken, copies and mix_at, word by word: each word of each queue has a finish time, and the budget's first words in that order are taken."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    rows = [(k, " ".join(["w"] * rnd.choice([0, 1, 2, 7, 40, 150])), rnd.choice(["a", "a", "a", "b", "c", None])) for k in range(120)] + [(7, "same id, other text", "a"), (7, "same id, other text", "a"), (None, "no id", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = df.select("doc_id", "text", "source", F.xxhash64(F.lit(17), "doc_id", F.col("text").cast("binary")).alias("h")).collect()
+    names = sorted({r[2] for r in rows if r[2]}) + [None]
+    size = {s: sum(len(r.text.split()) for r in hashes if r.source == s) for s in names}
+    ticks = []
+    for k, s in enumerate(names):
+        queue = sorted((r for r in hashes if r.source == s), key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0))
+        at = 0
+        for epoch in range(2):
+            for place, r in enumerate(queue):
+                for _ in r.text.split():
+                    at += 1
+                    ticks.append(((at - 0.5) / (3, 1, 2)[k % 3], r.h, s, place, epoch))
+    budget = round(1.5 * sum(size.values()))
+    taken = {}
+    for _, _, s, place, epoch in sorted(ticks, key=lambda t: t[:2])[:budget]:
+        taken.setdefault((s, place), []).append(epoch)
+    got = {}
+    for r in mixed(df).collect():
+        got.setdefault((str(r.source), str(r.doc_id), r.size), []).append((r.taken, r.copies))
+    want = {}
+    for s in names:
+        for place, r in enumerate(sorted((r for r in hashes if r.source == s), key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0))):
+            epochs = taken.get((s, place), [])
+            want.setdefault((str(s), str(r.doc_id), len(r.text.split())), []).append((len(epochs), len(set(epochs))))
+    off = [(k, sorted(got[k]), sorted(want[k])) for k in want if sorted(got[k]) != sorted(want[k])]
+    # Sources tie for the last word at most.
+    assert got.keys() == want.keys() and len(off) <= len(names) and all(abs(sum(t for t, _ in a) - sum(t for t, _ in b)) <= 1 for _, a, b in off), off
