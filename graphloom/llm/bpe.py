@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_rows
+from graphloom.llm.common import Remembered, arrow_rows
 
 #: Stands for the end of a word inside token strings.
 END = "\0"
-#: Entries of a worker's caches; a full cache is emptied, so memory is bounded and results are the same.
-CACHE = 600_000
+#: Bytes of a worker's memory of words, which ends with its task, and entries of its memory of pairs of tokens; full, they are emptied.
+CACHE_BYTES, PAIRS = 96 << 20, 300_000
 
 #: Unicode's white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -75,7 +75,7 @@ class PrefixBpe:
         self.automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
-        self._chunks: dict[str, tuple[bytes, bytes, int]] = {}
+        self._chunks: Remembered = Remembered(CACHE_BYTES)
 
     def _inner(self, token: str) -> str:
         return token[: -len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) else token
@@ -109,7 +109,7 @@ class PrefixBpe:
         known = self._pairs.get(left << 32 | right)
         if known is None:
             a, b = self.strings[left], self.strings[right]
-            if len(self._pairs) >= 2 * CACHE:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             known = self._pairs[left << 32 | right] = self.merged(self._symbols(a) + self._symbols(b)) == [a, b]
         return known
@@ -169,11 +169,13 @@ class PrefixBpe:
                     ids += [self.special[part]] if part in self.special else self._plain(part)
             else:
                 ids = self._plain(text)
-            if len(self._chunks) >= CACHE:
-                self._chunks.clear()
-            known = self._chunks[text] = array("I", ids).tobytes(), self.decode(ids).encode(), len(ids)
+            known = array("I", ids).tobytes(), self.decode(ids).encode(), len(ids)
+            self._chunks.keep(text, known, len(known[0]) + len(known[1]))
         return known
 
+    def forget(self) -> None:
+        self._chunks.forget()
+
     def packed(self, text: str | None) -> tuple[bytes, bytes]:
         """Ids as little-endian unsigned 32-bit integers, and their decoded text in UTF-8. Null is an empty text.
 
@@ -208,11 +210,17 @@ def coder(definition: str) -> PrefixBpe:
     return _made[key][1]
 
 
+def forget() -> None:
+    for _, bpe in _made.values():
+        bpe.forget()
+
+
 def bpe_round_trip(df: DataFrame, definition: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row's text encoded and decoded again: id, token_ids (binary, little-endian unsigned 32-bit), decoded (text).
 
     definition is the content of a tokenizer file, of bounded size; each worker gets it by broadcast. Null and empty texts
-    give no tokens; repeated rows give repeated rows; an empty table gives an empty one; other columns are not read.
+    give no tokens; repeated rows give repeated rows; an empty table gives an empty one; other columns are not read. A text may
+    be of any length, and so may a word: it takes memory in proportion to its length, and is not remembered.
     """
     sent = df.sparkSession.sparkContext.broadcast(definition)
     kind = df.schema[id_column].dataType.simpleString()
@@ -222,4 +230,4 @@ def bpe_round_trip(df: DataFrame, definition: str, id_column: str = "doc_id", te
         done = [bpe.packed(t) for t in columns["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([columns["id"], pa.array([d[0] for d in done], pa.binary()), pa.array([d[1].decode() for d in done], pa.string())], names=[id_column, "token_ids", "decoded"])
 
-    return arrow_rows(df, [F.col(id_column).alias("id"), F.col(text_column).alias("text")], make, f"`{id_column}` {kind}, token_ids binary, decoded string")
+    return arrow_rows(df, [F.col(id_column).alias("id"), F.col(text_column).alias("text")], make, f"`{id_column}` {kind}, token_ids binary, decoded string", after=forget)

@@ -21,6 +21,35 @@ SPACES = " \t\n\x0b\x0c\r"
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
+#: Longer words are never remembered by a worker, and an entry of its tables takes so many bytes besides its text.
+LONGEST_KEPT, ENTRY_BYTES = 64, 200
+
+
+class Remembered(dict):
+    """What a worker process remembers by word, up to a budget of bytes.
+
+    Full, it is emptied; words of over LONGEST_KEPT characters don't get in. So its size has a bound, and results never depend on it.
+    Whoever fills it empties it when a task ends, so that nothing is left in a worker that Spark uses again.
+    """
+
+    def __init__(self, budget: int):
+        super().__init__()
+        self.budget = self.room = budget
+
+    def keep(self, word, value, size: int = 0) -> None:
+        if len(word) > LONGEST_KEPT:
+            return
+        self.room -= ENTRY_BYTES + 2 * len(word) + size
+        if self.room < 0:
+            self.forget()
+            self.room -= ENTRY_BYTES + 2 * len(word) + size
+        self[word] = value
+
+    def forget(self) -> None:
+        self.clear()
+        self.room = self.budget
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches of the session's Python operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -35,6 +64,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/graphloom-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -52,18 +83,27 @@ def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def arrow_rows(df: DataFrame, columns: Sequence[Column], make: Callable[[dict[str, pa.Array]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df's columns, batch by batch, through make(), which yields record batches of the schema."""
+def arrow_rows(df: DataFrame, columns: Sequence[Column], make: Callable[[dict[str, pa.Array]], Iterator[pa.RecordBatch]], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """df's columns, batch by batch, through make(), which yields record batches of the schema; after() is called in the worker when a task ends."""
     tuned(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from make(dict(zip(batch.schema.names, batch.columns, strict=True)))
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from make(dict(zip(batch.schema.names, batch.columns, strict=True)))
+        finally:
+            if after:
+                after()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def nested(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """A row's columns as one struct, doc, beside which working columns of any name can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns or df.columns)).alias("doc")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_rows, materialised, partitions_for, tuned
+from graphloom.llm.common import Remembered, arrow_rows, materialised, partitions_for, tuned
 from graphloom.llm.components import components
 
 SHINGLE = 5
@@ -33,23 +33,27 @@ MANTISSA = 10
 MARGIN = 6.0
 #: Shingles of one block of a bucket's outsiders, and of the members that they are compared with.
 LOOSE_BLOCK, PROBE_BLOCK = 100_000, 400_000
-CACHE = 300_000
+#: Bytes of a worker's memory of word hashes, which ends with its task.
+CACHE_BYTES = 32 << 20
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
+_words = Remembered(CACHE_BYTES)
+
+
+def forget() -> None:
+    _words.forget()
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     found = list(map(_words.get, words))
     if None in found:
-        if len(_words) > CACHE:
-            _words.clear()
         for k, h in enumerate(found):
             if h is None:
-                found[k] = _words[words[k]] = int.from_bytes(hashlib.blake2b(words[k], digest_size=8).digest(), "little")
+                found[k] = h = int.from_bytes(hashlib.blake2b(words[k], digest_size=8).digest(), "little")
+                _words.keep(words[k], h)
     return np.array(found, dtype=np.uint64)
 
 
@@ -148,7 +152,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, label: str = "near"
     """
     spark = tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketched = materialised(arrow_rows(docs, [F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash")], _sketches, "doc_id long, text_hash long, n long, fp binary, regs binary, bands array<long>"), f"{label}-sketch")
+    sketched = materialised(arrow_rows(docs, [F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash")], _sketches, "doc_id long, text_hash long, n long, fp binary, regs binary, bands array<long>", after=forget), f"{label}-sketch")
     classes = materialised(sketched.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("copies"), F.first(F.struct("n", "regs", "bands")).alias("of")).select("fp", F.col("least.doc_id").alias("low"), F.col("least.text_hash").alias("text_hash"), "copies", "of.*"), f"{label}-classes")
 
     def rows() -> DataFrame:
@@ -166,7 +170,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, label: str = "near"
     likely = materialised(stars.join(sides[0], "a").join(sides[1], "b").filter(_passes(percent)).select("a", "b"), f"{label}-likely")
     checked = likely.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
     checked = materialised(checked, f"{label}-left").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    links = materialised(arrow_rows(checked, [F.col(c) for c in ("a", "b", "text_a", "text_b")], lambda c: _confirmed(c, percent), "a binary, b binary"), f"{label}-links")
+    links = materialised(arrow_rows(checked, [F.col(c) for c in ("a", "b", "text_a", "text_b")], lambda c: _confirmed(c, percent), "a binary, b binary", after=forget), f"{label}-links")
     joined = components(links, f"{label}-first")
 
     # Buckets of three or more in which some class is outside the first one's component.

@@ -9,7 +9,7 @@ features of a bounded sample of rows; it judges every row.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import materialised, tuned
+from graphloom.llm.common import Remembered, materialised, nested, tuned
 
 #: Common short words of four languages, and signs that prose seldom has.
 STOP_WORDS = frozenset("the of and to in is that it on for with as by from this are was be at or an der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es de la le et les en un une du que qui dans pour est sur au par el y a los se del las por con una no".split())
@@ -27,7 +27,8 @@ UPPER = bytes(range(65, 91))
 BUCKETS, SAMPLE_ROWS = 1 << 14, 6000
 #: Rows whose probability of being junk is higher are rejected.
 MOST_JUNK = 0.5
-CACHE = 400_000
+#: Bytes of a worker's memory of words' buckets, which ends with its task.
+CACHE_BYTES = 48 << 20
 #: Words of a window in which distinct words are counted.
 WINDOW = 200
 
@@ -112,7 +113,7 @@ def estimated(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np
     return junk
 
 
-_features: dict[str, tuple[int, int]] = {}
+_features = Remembered(CACHE_BYTES)
 
 
 def _shape(word: str) -> str:
@@ -130,12 +131,11 @@ def hashed(text: str, t: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     found = list(map(_features.get, words))
     if None in found:
-        if len(_features) > CACHE:
-            _features.clear()
         for k, f in enumerate(found):
             if f is None:
                 w = words[k]
-                found[k] = _features[w] = zlib.crc32(b"s" + _shape(w).encode()) % BUCKETS, zlib.crc32(b"e" + w[-2:].lower().encode()) % BUCKETS
+                found[k] = f = zlib.crc32(b"s" + _shape(w).encode()) % BUCKETS, zlib.crc32(b"e" + w[-2:].lower().encode()) % BUCKETS
+                _features.keep(w, f, 100)
     at, n = np.unique(np.array(found, np.int64), return_counts=True)
     grades = [zlib.crc32(f"{k}{int(np.floor(12 * np.sqrt(min(v, 4.0))))}".encode()) % BUCKETS for k, v in t.items() if k not in ("words", "length")]
     return np.concatenate([at, grades]), np.concatenate([n / len(words), np.full(len(grades), 0.25)])
@@ -186,6 +186,7 @@ def trained(documents: DataFrame, text: str = "text") -> np.ndarray:
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            forget()
             out = [(h, "".join(map(str, votes(t))), *hashed(x, t)) for h, x in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True) if x for t in [traits(x)]]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2].astype("<u2").tobytes() for o in out], pa.binary()), pa.array([o[3].astype("<f4").tobytes() for o in out], pa.binary())], names=["h", "votes", "at", "value"])
 
@@ -197,26 +198,36 @@ def trained(documents: DataFrame, text: str = "text") -> np.ndarray:
     return fitted([(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in sample], np.array([label[r["votes"]] for r in sample]))
 
 
-def scored(documents: DataFrame, text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
-    """documents with _junk (the scorer's probability) and _kept.
+def forget() -> None:
+    _features.forget()
 
-    Texts without a word, and null ones, have no probability, and are rejected. Repeated rows get equal scores. The scorer
-    is trained on the same rows unless weights are given.
+
+def scored(documents: DataFrame, text: str = "text", weights: np.ndarray | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """doc (a struct of the row's own columns, whatever their names, or of those to keep), junk (the scorer's probability) and kept, for each row.
+
+    Texts without a word, and null ones, have no probability, and are rejected. Repeated rows get equal scores. A text of
+    any length is judged as a whole, and an empty table gives an empty one. The scorer is trained on the same rows unless
+    weights are given.
     """
     spark = tuned(documents.sparkSession)
     sent = spark.sparkContext.broadcast(trained(documents, text) if weights is None else weights)
-    place = documents.columns.index(text)
+    held = list(keep or documents.columns)
+    place = held.index(text) if text in held else None
+    rows = documents.select(nested(documents, held), *([F.col(text).alias("text")] if place is None else []))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        for batch in batches:
-            junk = []
-            for t in _texts(batch.column(place)):
-                if t is None:
-                    junk.append(None)
-                    continue
-                at, value = hashed(t, traits(t))
-                junk.append(float(1 / (1 + np.exp(-np.clip(value @ w[at] + w[-1], -30, 30)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(junk, pa.float64()), pa.array([j is not None and j <= MOST_JUNK for j in junk], pa.bool_())], names=[*batch.schema.names, "_junk", "_kept"])
-
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_junk", T.DoubleType()), T.StructField("_kept", T.BooleanType())]))
+        try:
+            for batch in batches:
+                junk = []
+                for t in _texts(batch.column(1) if place is None else batch.column(0).field(place)):
+                    if t is None:
+                        junk.append(None)
+                        continue
+                    at, value = hashed(t, traits(t))
+                    junk.append(float(1 / (1 + np.exp(-np.clip(value @ w[at] + w[-1], -30, 30)))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(junk, pa.float64()), pa.array([j is not None and j <= MOST_JUNK for j in junk], pa.bool_())], names=["doc", "junk", "kept"])
+        finally:
+            forget()
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("junk", T.DoubleType()), T.StructField("kept", T.BooleanType())]))

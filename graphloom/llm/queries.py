@@ -38,11 +38,11 @@ FROM payloads p JOIN largest l USING (hex) JOIN digits d USING (hex)
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+s AS (SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -58,8 +58,7 @@ def definition(name: str) -> str:
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of being junk, and whether it is kept."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(documents).select("doc_id", F.col("_junk").alias("junk"), F.col("_kept").alias("kept"))
+    return scored(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc.doc_id", "junk", "kept")
 
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
@@ -85,9 +84,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of its histograms' divergence from its language."""
-    judged = with_quality(table(spark, sf_dir, "documents"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged.select("doc_id", *(F.col(f"_{x}").alias(x) for x in names))
+    return with_quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:

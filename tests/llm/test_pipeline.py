@@ -6,6 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from graphloom.llm.mixing import mixed
 from tests.llm.test_near_dup import brute
 from tests.llm.test_quality_model import prose
 
@@ -54,3 +55,27 @@ def test_run_on_files(spark, tmp_path):
     empty = tmp_path / "empty"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_clashing_columns_and_shared_ids(spark):
+    """Columns that bear the names of working columns pass through every stage; rows that share doc_id, source and size are served by what each was taken."""
+    rows = [r for r in corpus()[:90]] + [(7000, "alpha beta gamma delta\n  epsilon", "en", "z", 30), (7000, "one two\tthree four\nfive", "en", "z", 22)]
+    names = ["_kept", "_junk", "_same", "_size", "_at", "_taken", "kept", "junk", "row", "doc", "text_hash", "taken", "at", "size", "words", "of", "cut", "whole"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema).cache()
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == columns, name
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == tuple(range(len(names))) for r in got), name
+        if name == "source mix":
+            taken = {}
+            for r in mixed(docs).collect():
+                taken[r.source] = taken.get(r.source, 0) + r.taken
+            served = {}
+            for r in got:
+                served[r.source] = served.get(r.source, 0) + len((r.text or "").split())
+                assert any(x[0] == r.doc_id and (x[1] or "").startswith(r.text) for x in rows)
+                assert r.n_chars == len(r.text) or (r.text, r.n_chars) in {(x[1], x[4]) for x in rows}
+            assert served == {s: t for s, t in taken.items() if t}
