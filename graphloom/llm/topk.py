@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     Components become floor(scale * x). Ties go to the smaller id; fewer than k rows where there are fewer. Rows with a
     null id, a null vector, or a null or non-finite component take no part; shorter vectors count as filled up with zeros;
-    rows that repeat id and vector count once. Scores that might exceed 64 bits are an error. Queries may be any share of
+    rows that repeat id and vector count once, and rows of the query's id with another vector are the query's own too. Scores that might exceed 64 bits are an error. Queries may be any share of
     the rows: they are dealt into blocks too, and block meets block by path, with no rows shuffled to be compared.
     """
     spark = tuned(vectors.sparkSession)
@@ -150,8 +150,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     first = blocks.agg(F.min_by("path", F.struct(-F.col("longest"), F.col("block"))).alias("p")).first()["p"]
     seeds = materialised(arrow_rows(queries.withColumn("x_path", F.lit(first)).withColumn("taus", F.lit(None).cast("binary")).repartition(partitions_for(queries), "q_block"), [F.col(c) for c in names], searched, kind), "topk-seeds")
     taus = _thresholds(seeds, asked, k)
-    listed = blocks.filter(F.col("path") != first).agg(F.collect_list("path").alias("paths"))
-    pairs = queries.join(taus, "q_block").join(F.broadcast(listed)).select("q_block", "q_path", "taus", F.explode("paths").alias("x_path"))
+    # By number, so that no list of blocks is held anywhere; a pair whose lengths can't reach the least threshold of its queries is left out before a file is read.
+    most = blocks.agg(F.max("block").alias("m")).first()["m"]
+    others = blocks.filter(F.col("path") != first).select("block", F.col("path").alias("x_path"), "longest")
+    pairs = asked.select(F.col("block").alias("q_block"), F.col("path").alias("q_path"), F.col("longest").alias("q_longest")).join(taus, "q_block")
+    pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(most)))).join(others, "block")
+    bound = F.col("q_longest") * F.col("longest")
+    pairs = pairs.filter(bound * (1 + 1e-9) + 1 >= F.col("least"))
     rest = arrow_rows(pairs.repartition(2 * partitions_for(pairs), "x_path", "q_block").sortWithinPartitions("x_path"), [F.col(c) for c in names], searched, kind)
     ranked = F.row_number().over(Window.partitionBy("q_block", "row").orderBy(F.desc("score"), "vec_id"))
     return seeds.union(rest).withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -168,19 +173,20 @@ def _axes(made: DataFrame) -> np.ndarray:
 
 
 def _thresholds(seeds: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """q_block, taus: for each query of a block, in order, its k-th best score among the seeds, or minus infinity."""
+    """q_block, taus, least: for each query of a block, in order, its k-th best score among the seeds, or minus infinity; and the least of these."""
     kth = seeds.groupBy("q_block", "row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("tau"))
     packed = kth.groupBy("q_block").agg(F.collect_list(F.struct("row", "tau")).alias("of"))
 
     def make(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out, least = [], []
         for path, of in zip(columns["path"].to_pylist(), columns["of"].to_pylist(), strict=True):
             tau = np.full(len(_read(path)[0]), -np.inf)
             for x in of or []:
                 if x["tau"] is not None:
                     tau[x["row"]] = x["tau"]
             out.append(tau.astype("<f8").tobytes())
-        yield pa.RecordBatch.from_arrays([columns["q_block"], pa.array(out, pa.binary())], names=["q_block", "taus"])
+            least.append(float(tau.min(initial=np.inf)))
+        yield pa.RecordBatch.from_arrays([columns["q_block"], pa.array(out, pa.binary()), pa.array(least, pa.float64())], names=["q_block", "taus", "least"])
 
     joined = asked.select(F.col("block").alias("q_block"), "path").join(packed, "q_block", "left")
-    return arrow_rows(joined, [F.col(c) for c in ("q_block", "path", "of")], make, "q_block int, taus binary")
+    return arrow_rows(joined, [F.col(c) for c in ("q_block", "path", "of")], make, "q_block int, taus binary, least double")
