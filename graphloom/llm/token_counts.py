@@ -51,7 +51,8 @@ def write_flat(documents: DataFrame, ranks: bytes, pattern: str, end_id: int, la
 
         def made() -> Iterator[bytes]:
             for batch in batches:
-                docs.append(batch.column(0))
+                # A copy: a slice would keep its whole batch, texts included, in memory.
+                docs.append(pa.array(batch.column(0).to_pylist(), pa.int64()))
                 for text in batch.column(1).to_pylist():
                     ids = np.array(encoding.encode_ordinary(text), "<u2").tobytes() + end if text else end
                     total[0] += len(ids) // 2
@@ -103,6 +104,11 @@ def scan_flat(files: DataFrame, end_id: int, block_ids: int = 0) -> DataFrame:
 
 
 def token_counts(documents: DataFrame, ranks: bytes, pattern: str, end_id: int, block_ids: int = 0) -> DataFrame:
-    """doc_id, file, start, n_tokens for each row of documents, counted in flat files of its tokens."""
+    """doc_id, file, start, n_tokens for each row of documents, counted in flat files of its tokens.
+
+    Null and empty texts have no tokens; rows that repeat a doc_id, or have none, are counted one by one; a text may be of any
+    length; an empty table gives an empty one; other columns are not read. Both sides of the last join grow with the
+    documents, so they are merged in order of file and place, never broadcast.
+    """
     files, rows = write_flat(documents, ranks, pattern, end_id)
-    return rows.join(scan_flat(files, end_id, block_ids), ["file", "ordinal"], "left").select("doc_id", "file", "start", "n_tokens")
+    return rows.hint("merge").join(scan_flat(files, end_id, block_ids), ["file", "ordinal"], "left").select("doc_id", "file", "start", "n_tokens")
