@@ -1,6 +1,7 @@
 """Quality rules: base counts, and the divergence of a document's histograms from its language's reference.
 
-Everything here is a DataFrame expression. Two histograms describe a document: its characters by class, and its words by
+Everything here is a DataFrame expression. One pass over the texts makes every count and both histograms, and writes them;
+references and verdicts read those numbers, never a text. Two histograms describe a document: its characters by class, and its words by
 the language's most common function words. A reference is, for each bin, the median share over all documents of the
 language that are long enough and pass the base rules; the Jensen-Shannon distance to it decides. Short documents have
 noisy histograms, so each comparison has a least length, below which it isn't made.
@@ -8,12 +9,12 @@ noisy histograms, so each comparison has a least length, below which it isn't ma
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACES, WORD
+from graphloom.llm.common import SPACES, WORD, materialised, nested
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -31,6 +32,8 @@ CLASSES = ["upper", "letter", "number", "space", "symbol", "other"]
 #: Least characters and words for the comparisons, and the distances beyond which a document is rejected.
 LEAST_CHARS_CLASS, LEAST_WORDS_COMMON = 120, 80
 MOST_CLASS, MOST_COMMON = 0.18, 0.25
+#: Decimals of the shares that medians are taken of: few enough values that exact medians need bounded memory, however many rows there are.
+DECIMALS = 4
 #: Share that a bin gets at least, so that a bin that is new to a language counts without deciding alone.
 FLOOR = 1e-4
 
@@ -67,50 +70,63 @@ def _only(column: str, but: str) -> Column:
     return F.length(F.regexp_replace(F.col(column), but, ""))
 
 
-def histograms(documents: DataFrame, text: str, lang: str) -> DataFrame:
-    """Adds _words, _chars, the class counts _class0.. and the common-word counts _common0.. of each row's text."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def counted(documents: DataFrame, text: str = "text", lang: str = "lang", keep: Sequence[str] | None = None) -> DataFrame:
+    """doc (a struct of the row's own columns, or of those to keep) and of (a struct of its counts and histograms) for each row, written once.
+
+    of has group (a known language, or "" for all others), chars, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, class (characters by class) and common (the language's common words in order; null without a known one).
+    """
+    df = documents.select(nested(documents, keep), F.col(text).alias("raw"), F.coalesce(F.col(text), F.lit("")).alias("body"), F.col(lang).alias("lang"))
     # Most of a text is small letters and spaces: one pass takes them out, and the other classes are counted in the rest.
-    df = documents.withColumn("_words", words_of(F.col(text))).withColumn("_chars", F.length(body)).withColumn("_rest", F.regexp_replace(body, "[\\p{Ll}\\x20\\x09-\\x0D]+", ""))
-    df = df.withColumns({"_solid": F.length(F.array_join("_words", "")), "_rest_n": F.length("_rest"), "_upper": _only("_rest", "[^\\p{Lu}]+"), "_letter": _only("_rest", "[^\\p{L}]+"), "_number": _only("_rest", "[^\\p{N}]+"), "_symbol": F.length("_rest") - F.length(F.translate(F.col("_rest"), SYMBOLS, ""))})
+    df = df.withColumn("words", words_of(F.col("raw"))).withColumn("chars", F.length("body")).withColumn("rest", F.regexp_replace("body", "[\\p{Ll}\\x20\\x09-\\x0D]+", ""))
+    df = df.withColumns({"solid": F.length(F.array_join("words", "")), "rest_n": F.length("rest"), "upper": _only("rest", "[^\\p{Lu}]+"), "letter": _only("rest", "[^\\p{L}]+"), "number": _only("rest", "[^\\p{N}]+"), "symbol": F.length("rest") - F.length(F.translate(F.col("rest"), SYMBOLS, ""))})
     c = F.col
-    classes = [c("_upper"), c("_solid") - c("_rest_n") + c("_letter") - c("_upper"), c("_number"), c("_chars") - c("_solid"), c("_symbol"), c("_rest_n") - c("_letter") - c("_number") - c("_symbol")]
+    classes = F.array(c("upper"), c("solid") - c("rest_n") + c("letter") - c("upper"), c("number"), c("chars") - c("solid"), c("symbol"), c("rest_n") - c("letter") - c("number") - c("symbol"))
     listed = F.lit(None).cast("array<string>")
     for name, common in COMMON.items():
-        listed = F.when(F.col(lang) == name, F.array(*map(F.lit, common))).otherwise(listed)
-    size = F.size("_words")
-    found = F.transform(listed, lambda x: size - F.size(F.array_remove(F.col("_words"), x)))
-    df = df.withColumns({f"_class{k}": c for k, c in enumerate(classes)}).withColumn("_common", found).drop("_rest", "_rest_n", "_upper", "_letter", "_number", "_symbol")
-    return df
+        listed = F.when(c("lang") == name, F.array(*map(F.lit, common))).otherwise(listed)
+    size = F.size("words")
+    found = F.transform(listed, lambda x: size - F.size(F.array_remove(c("words"), x)))
+    lines = F.filter(F.split("body", "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    of = F.struct(
+        F.when(c("lang").isin(*COMMON), c("lang")).otherwise(F.lit("")).alias("group"), c("chars").cast("long").alias("chars"),
+        size.cast("long").alias("n_words"), c("solid").cast("long").alias("word_chars"), c("symbol").cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(c("words")).cast("long").alias("n_repeat_words"),
+        classes.alias("class"), found.alias("common"),
+    )
+    return materialised(df.select("doc", of.alias("of")), "rules-counts")
+
 
+#: Shares of the bins of each histogram, over the columns of counted().
+def _shares() -> dict[str, Column]:
+    words = F.col("of.n_words")
+    rest = words - F.aggregate("of.common", F.lit(0).cast("long"), lambda a, x: a + x)
+    return {"class": F.transform("of.class", lambda x: x / F.col("of.chars")), "common": F.concat(F.transform("of.common", lambda x: x / words), F.array(rest / words))}
 
-def _shares(df: DataFrame) -> dict[str, list[Column]]:
-    n = len(next(iter(COMMON.values())))
-    words = F.size("_words")
-    common = [F.get("_common", F.lit(k)) / words for k in range(n)]
-    rest = (words - F.aggregate("_common", F.lit(0), lambda a, x: a + x)) / words
-    return {"class": [F.col(f"_class{k}") / F.col("_chars") for k in range(len(CLASSES))], "common": [*common, rest]}
+
+#: Bins of each histogram.
+BINS = {"class": len(CLASSES), "common": 1 + len(next(iter(COMMON.values())))}
 
 
 def _long_enough(kind: str) -> Column:
-    return F.col("_chars") >= LEAST_CHARS_CLASS if kind == "class" else (F.size("_words") >= LEAST_WORDS_COMMON) & F.col("_common").isNotNull()
+    return F.col("of.chars") >= LEAST_CHARS_CLASS if kind == "class" else (F.col("of.n_words") >= LEAST_WORDS_COMMON) & F.col("of.common").isNotNull()
 
 
-def references(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[str, list[float]]]:
+def references(counts: DataFrame) -> dict[str, dict[str, list[float]]]:
     """For each known language, and "" for all others together, the reference of each kind of histogram: medians over all of its documents.
 
-    One row of a fixed number of medians for each of at most five groups reaches the driver.
+    Medians are exact for shares of DECIMALS decimals, so they don't depend on how rows are dealt. One row of a fixed number
+    of medians for each of at most five groups reaches the driver.
     """
-    df = histograms(documents.select(F.col(text), F.col(lang)), text, lang)
-    group = F.when(F.col(lang).isin(*COMMON), F.col(lang)).otherwise(F.lit(""))
-    shares = _shares(df)
-    rows = df.filter(F.size("_words") >= LEAST_WORDS).groupBy(group.alias("g")).agg(*(F.percentile_approx(F.when(_long_enough(kind), s), 0.5, 1000).alias(f"{kind}{k}") for kind, ss in shares.items() for k, s in enumerate(ss))).collect()
+    shares = _shares()
+    medians = (F.percentile(F.when(_long_enough(kind), F.round(F.get(shares[kind], F.lit(k)), DECIMALS)), F.lit(0.5)).alias(f"{kind}{k}") for kind, n in BINS.items() for k in range(n))
+    rows = counts.filter(F.col("of.n_words") >= LEAST_WORDS).groupBy(F.col("of.group").alias("g")).agg(*medians).collect()
     found: dict[str, dict[str, list[float]]] = {}
     for row in rows:
-        for kind, ss in shares.items():
-            medians = [row[f"{kind}{k}"] for k in range(len(ss))]
-            if None not in medians:
-                floored = [max(m, FLOOR) for m in medians]
+        for kind, n in BINS.items():
+            middle = [row[f"{kind}{k}"] for k in range(n)]
+            if None not in middle:
+                floored = [max(m, FLOOR) for m in middle]
                 found.setdefault(row["g"], {})[kind] = [m / sum(floored) for m in floored]
     return found
 
@@ -130,37 +146,26 @@ def js_distance(shares: list[Column], reference: list[float]) -> Column:
     return divergence(F.array(*shares), F.array(*map(F.lit, reference)))
 
 
-def with_quality(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """documents with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _js_class, _js_common, _kept.
+def with_quality(documents: DataFrame, text: str = "text", lang: str = "lang", keep: Sequence[str] | None = None) -> DataFrame:
+    """doc (a struct of the row's own columns, whatever their names, or of those to keep), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_class, js_common, kept.
 
     Null and empty texts have no words: they fail the base rules. A comparison whose least length isn't met, or for which
     the corpus has no reference, gives null and rejects nobody; a null or unknown language is compared by character
-    classes alone, with all such documents. Rows are judged one by one, so repeated rows get equal verdicts.
+    classes alone, with all such documents. Rows are judged one by one, so repeated rows get equal verdicts; texts of any
+    length are counted whole; an empty table gives an empty one.
     """
-    known = references(documents, text, lang)
-    df = histograms(documents, text, lang)
-    shares = _shares(df)
-    group = F.when(F.col(lang).isin(*COMMON), F.col(lang)).otherwise(F.lit(""))
+    counts = counted(documents, text, lang, keep)
+    known, shares = references(counts), _shares()
 
     def distance(kind: str) -> Column:
         # One expression, with the row's reference chosen inside it, so that plans stay small.
         wanted = F.lit(None).cast("array<double>")
         for name, kinds in known.items():
             if kind in kinds:
-                wanted = F.when(group == name, F.array(*map(F.lit, kinds[kind]))).otherwise(wanted)
-        return F.when(_long_enough(kind), divergence(F.array(*shares[kind]), wanted))
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    df = df.withColumns({
-        "_n_words": F.size("_words").cast("long"),
-        "_word_chars": F.col("_solid").cast("long"),
-        "_n_symbols": F.col("_class4").cast("long"),
-        "_n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "_n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-        "_js_class": distance("class"),
-        "_js_common": distance("common"),
-    })
-    df = df.withColumn("_base_failed", (F.col("_n_words") < LEAST_WORDS) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * REPEAT_PERCENT))
-    df = df.withColumn("_kept", ~F.col("_base_failed") & (F.coalesce("_js_class", F.lit(0.0)) <= MOST_CLASS) & (F.coalesce("_js_common", F.lit(0.0)) <= MOST_COMMON))
-    return df.drop("_words", "_chars", "_solid", "_common", *(f"_class{k}" for k in range(len(CLASSES))))
+                wanted = F.when(F.col("of.group") == name, F.array(*map(F.lit, kinds[kind]))).otherwise(wanted)
+        return F.when(_long_enough(kind), divergence(shares[kind], wanted))
+
+    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    failed = (F.col("of.n_words") < LEAST_WORDS) | (F.col("of.n_repeat_words") * 100 > F.col("of.n_words") * REPEAT_PERCENT)
+    df = counts.select("doc", *(f"of.{x}" for x in numbers), failed.alias("base_failed"), distance("class").alias("js_class"), distance("common").alias("js_common"))
+    return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("js_class", F.lit(0.0)) <= MOST_CLASS) & (F.coalesce("js_common", F.lit(0.0)) <= MOST_COMMON))
