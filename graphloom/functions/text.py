@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 #: Abbreviations that occur in identifiers, and what they stand for.
 ABBREVIATIONS = {
-    "err": "error", "msg": "message", "req": "request", "res": "response", "resp": "response", "cfg": "config", "conf": "config", "ctx": "context", "db": "database", "conn": "connection",
-    "auth": "authentication", "authn": "authentication", "authz": "authorization", "usr": "user", "pwd": "password", "pass": "password", "param": "parameter", "params": "parameters", "arg": "argument", "args": "arguments",
-    "func": "function", "fn": "function", "cb": "callback", "init": "initialize", "impl": "implementation", "idx": "index", "len": "length", "str": "string", "num": "number", "int": "integer",
-    "bool": "boolean", "obj": "object", "arr": "array", "val": "value", "var": "variable", "tmp": "temporary", "temp": "temporary", "prev": "previous", "cur": "current", "curr": "current",
-    "src": "source", "dst": "destination", "dest": "destination", "dir": "directory", "doc": "document", "docs": "documents", "env": "environment", "evt": "event", "exec": "execute", "gen": "generate",
-    "util": "utility", "utils": "utilities", "lib": "library", "pkg": "package", "mod": "module", "mgr": "manager", "svc": "service", "srv": "server", "repo": "repository", "ref": "reference",
-    "sync": "synchronize", "async": "asynchronous", "del": "delete", "rm": "remove", "upd": "update", "calc": "calculate", "cmp": "compare", "cnt": "count", "buf": "buffer", "ptr": "pointer",
-    "addr": "address", "alloc": "allocate", "attr": "attribute", "btn": "button", "cmd": "command", "col": "column", "desc": "description", "elem": "element", "fmt": "format", "img": "image",
-    "info": "information", "iter": "iterator", "lang": "language", "max": "maximum", "min": "minimum", "mem": "memory", "net": "network", "opt": "option", "opts": "options", "perf": "performance",
-    "pos": "position", "proc": "process", "prop": "property", "props": "properties", "pub": "public", "priv": "private", "rand": "random", "rec": "record", "reg": "register", "sec": "security",
-    "sig": "signature", "spec": "specification", "stat": "status", "stmt": "statement", "tok": "token", "txn": "transaction", "ui": "interface", "ver": "version", "win": "window", "xfer": "transfer",
+    "abs": "abstract", "addr": "address", "alloc": "allocate", "arg": "argument", "arr": "array", "assert": "assertion", "attr": "attribute", "auth": "authentication", "authz": "authorization", "bool": "boolean",
+    "buf": "buffer", "cap": "capacity", "cb": "callback", "cfg": "config", "chan": "channel", "cli": "client", "cmd": "command", "cnt": "count", "col": "column", "conf": "configuration",
+    "conn": "connection", "cred": "credential", "ctor": "constructor", "ctrl": "controller", "ctx": "context", "cur": "current", "db": "database", "dbg": "debug", "dbl": "double", "dealloc": "deallocate",
+    "decl": "declaration", "deinit": "deinitialize", "del": "delete", "dep": "dependency", "desc": "description", "dict": "dictionary", "disp": "dispatcher", "doc": "document", "dst": "destination", "dtor": "destructor",
+    "dur": "duration", "elem": "element", "env": "environment", "ep": "endpoint", "err": "error", "evt": "event", "ex": "exception", "exc": "exception", "ext": "extension", "flt": "float",
+    "fmt": "format", "fn": "function", "func": "function", "hdlr": "handler", "hdr": "header", "hdrs": "headers", "hlp": "helper", "idx": "index", "iface": "interface", "impl": "implementation",
+    "inf": "info", "init": "initialize", "int": "integer", "iter": "iterator", "lbl": "label", "len": "length", "lib": "library", "log": "logging", "lst": "list", "lvl": "level",
+    "mgr": "manager", "mock": "mock", "mod": "module", "msg": "message", "mtx": "mutex", "ns": "namespace", "num": "number", "obj": "object", "off": "offset", "ops": "operations",
+    "opt": "option", "opts": "options", "orig": "original", "param": "parameter", "perm": "permission", "pkg": "package", "pos": "position", "prev": "previous", "proc": "procedure", "prop": "property",
+    "ptr": "pointer", "pub": "publisher", "pwd": "password", "que": "queue", "ref": "reference", "reg": "registry", "repo": "repository", "req": "request", "res": "response", "resp": "response",
+    "ret": "return", "rm": "remove", "rsp": "response", "sched": "scheduler", "sem": "semaphore", "sess": "session", "sig": "signal", "sock": "socket", "spec": "specification", "src": "source",
+    "srv": "server", "stk": "stack", "stmt": "statement", "str": "string", "stub": "stub", "sub": "subscriber", "svc": "service", "sz": "size", "tbl": "table", "temp": "temporary",
+    "tgt": "target", "tmp": "temporary", "tok": "token", "trx": "transaction", "ts": "timestamp", "ttl": "timetolive", "txn": "transaction", "txt": "text", "url": "uniform", "util": "utility",
+    "val": "value", "vec": "vector", "ver": "version", "wg": "waitgroup", "wrn": "warning",
 }
 
 
@@ -37,8 +40,8 @@ def expanded_tokens(text: Column) -> Column:
 
 
 def camel_split(text: Column) -> Column:
-    """Camel-case words apart, case kept."""
-    return F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    """Camel-case words apart, case kept: cut where a lower-case letter meets an upper-case one, nowhere else."""
+    return F.regexp_replace(text, "([a-z])(?=[A-Z])", "$1 ")
 
 
 def config_key(key: Column) -> Column:
@@ -48,37 +51,40 @@ def config_key(key: Column) -> Column:
 
 
 def is_env_name(name: Column) -> Column:
-    return name.rlike("^[A-Z][A-Z0-9_]+$")
+    """Two or more of A-Z, 0-9 and _, a capital among them."""
+    return name.rlike("^[A-Z0-9_]{2,}$") & name.rlike("[A-Z]")
 
 
 def is_config_path(path: Column) -> Column:
     return F.lower(path).rlike(r"(\.(toml|ya?ml|json|ini|cfg|conf|properties|xml|env)|(^|/)\.env(\..*)?)$")
 
 
-#: Prefixes of vendors' keys.
-KEY_PREFIXES = ["github_pat_", "sk-ant-", "xoxb-", "xoxp-", "xoxs-", "glpat-", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "AIza", "sk-"]
+#: Prefixes of vendors' keys, the least characters after them, and parts of names that mark a secret.
+KEY_PREFIXES = ["AIza", "jina_", "pa-", "sk-", "sk_", "voy-"]
 LEAST_BODY = 20
+SECRET_NAMES = ["secret", "password", "passwd", "token", "api_key", "apikey", "private_key", "credential", "auth_token", "access_key", "client_secret", "signing_key", "encryption_key", "ssh_key", "deploy_key", "service_account", "bearer", "jwt_secret"]
 
 
 def is_secret_value(value: Column) -> Column:
-    """Private keys and vendors' key formats."""
-    return value.rlike(r"-----BEGIN [A-Z ]*PRIVATE KEY|AKIA[0-9A-Z]{4,}|\bsk-[A-Za-z0-9_-]{8,}|ghp_[A-Za-z0-9]{8,}|glpat-[A-Za-z0-9_-]{8,}|xox[bps]-[A-Za-z0-9-]{8,}")
+    """Private keys and vendors' key formats, in any case."""
+    return value.rlike(r"(?i)-----BEGIN|AKIA[0-9A-Z]{16}|sk-[0-9A-Z]{20}|ghp_[0-9A-Z]{36}|glpat-[0-9A-Z-]{20}|xox[bps]-[0-9A-Z-]")
 
 
 def is_secret_name(name: Column) -> Column:
-    return F.lower(name).rlike("secret|password|passwd|token|api_?key|private_?key|credential|access_?key")
+    return F.lower(name).rlike("|".join(SECRET_NAMES))
+
+
+_key = rf"(?<![A-Za-z0-9_])({'|'.join(map(re.escape, sorted(KEY_PREFIXES, key=len, reverse=True)))})[A-Za-z0-9_-]{{{LEAST_BODY},}}"
 
 
 def scrubbed(text: Column) -> Column:
-    """Keys at a word boundary, of a known prefix and 20 or more characters, become [REDACTED:prefix]; longer prefixes win. Scrubbing twice changes nothing more."""
-    names = "|".join(map(re.escape, sorted(KEY_PREFIXES, key=len, reverse=True)))
-    return F.regexp_replace(text, rf"(?<![A-Za-z0-9_-])({names})[A-Za-z0-9_-]{{{LEAST_BODY},}}", "[REDACTED:$1]")
+    """Keys that don't start inside a word, of a known prefix and 20 or more characters, become [REDACTED:prefix]; longer prefixes win. Scrubbing twice changes nothing more."""
+    return F.regexp_replace(text, _key, "[REDACTED:$1]")
 
 
 def redactions(text: Column) -> Column:
     """How many keys scrubbed() takes out."""
-    names = "|".join(map(re.escape, sorted(KEY_PREFIXES, key=len, reverse=True)))
-    return F.regexp_count(text, F.lit(rf"(?<![A-Za-z0-9_-])({names})[A-Za-z0-9_-]{{{LEAST_BODY},}}"))
+    return F.regexp_count(text, F.lit(_key))
 
 
 def qualified_name(project: Column, path: Column, name: Column | None = None) -> Column:

@@ -33,11 +33,12 @@ def languages(graph: GraphView) -> DataFrame:
 
 
 def _between_packages(graph: GraphView, kinds: tuple[str, ...] | None = ("CALLS",)) -> DataFrame:
-    """from_package, to_package, type, n: pairs are counted before they are labelled, so the join's rows are edges, once."""
+    """from_package, to_package, type, n. Edges are counted by source package and target node before the second join, so what it moves is no longer one row an edge."""
     p = _packaged(graph).select("id", "package")
     e = graph.edges if kinds is None else graph.edges.filter(F.col("type").isin(*kinds))
-    e = e.select("source_id", "target_id", "type").join(p.select(F.col("id").alias("source_id"), F.col("package").alias("from_package")), "source_id").join(p.select(F.col("id").alias("target_id"), F.col("package").alias("to_package")), "target_id")
-    return e.groupBy("from_package", "to_package", "type").agg(F.count("*").alias("n"))
+    e = e.select("source_id", "target_id", "type").join(p.select(F.col("id").alias("source_id"), F.col("package").alias("from_package")), "source_id")
+    e = e.groupBy("from_package", "target_id", "type").agg(F.count("*").alias("n")).join(p.select(F.col("id").alias("target_id"), F.col("package").alias("to_package")), "target_id")
+    return e.groupBy("from_package", "to_package", "type").agg(F.sum("n").alias("n"))
 
 
 def packages(graph: GraphView) -> DataFrame:

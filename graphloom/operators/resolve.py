@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical_route, config_key, confidence_band, identifier_tokens
-from graphloom.operators.search import is_test_path
+from graphloom.operators.search import is_test_name, is_test_path
+from graphloom.plans.model import property_of
 
 #: Confidence by strategy.
 CONFIDENCE = {"import_map": 0.95, "same_module": 0.90, "import_map_suffix": 0.85, "qualified_suffix": 0.90, "unique_name": 0.75, "suffix_match": 0.55}
 MOST_CANDIDATES = 256
-STOP_WORDS = ("get", "set", "the", "and", "for", "with", "from", "use", "new", "app", "self", "true", "false", "none")
+#: Words of decorators that say nothing.
+STOP_WORDS = ("and", "app", "class", "for", "from", "function", "get", "if", "method", "new", "not", "or", "param", "private", "public", "return", "router", "set", "the", "type", "value", "with")
 
 
 def penalty(n: Column) -> Column:
@@ -23,8 +25,8 @@ def penalty(n: Column) -> Column:
 
 
 def reachable(module: Column, imports: Column) -> Column:
-    """An imported module contains the candidate's module, or is contained in it."""
-    return F.exists(F.coalesce(imports, F.array().cast("array<string>")), lambda m: module.contains(m) | m.contains(module))
+    """An imported module contains the candidate's module, or is contained in it; a file without imports reaches everything."""
+    return (F.coalesce(F.size(imports), F.lit(0)) <= 0) | F.exists(F.coalesce(imports, F.array().cast("array<string>")), lambda m: module.contains(m) | m.contains(module))
 
 
 def prefix_length(a: Column, b: Column) -> Column:
@@ -51,7 +53,8 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFra
     # Names with too many candidates are dropped before the join, so that none of its keys is hot.
     few = sym.groupBy("simple").agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_CANDIDATES)
     named = c.join(few, "simple").join(sym, "simple").withColumn("near", reachable(F.col("home"), F.col("imports")))
-    dotted = named.filter(F.col("callee").contains(".") & F.col("qualified_name").endswith(F.concat(F.lit("."), F.col("callee")))).groupBy("call_id").agg(F.count("*").alias("k"), F.min("qualified_name").alias("qualified_name")).filter("k = 1")
+    # A qualified name tells candidates apart; a single candidate needs none.
+    dotted = named.filter((F.col("n") > 1) & F.col("callee").contains(".") & ((F.col("qualified_name") == F.col("callee")) | F.col("qualified_name").endswith(F.concat(F.lit("."), F.col("callee"))))).groupBy("call_id").agg(F.count("*").alias("k"), F.min("qualified_name").alias("qualified_name")).filter("k = 1")
     unique = named.filter("n = 1")
     half = F.when(F.col("near"), 1.0).otherwise(0.5)
     score = F.when(is_test_path(F.regexp_replace("home", "\\.", "/")), 0).otherwise(1000) + prefix_length(F.col("qualified_name"), F.col("module"))
@@ -109,10 +112,11 @@ def overrides(methods: DataFrame, parents: DataFrame) -> DataFrame:
 
 def test_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """source_id, target_id of calls from a test, by path or flag and by name, to what is no test."""
-    n = nodes.select("id", "name", (is_test_path(F.col("file_path"))).alias("in_test"))
+    flagged = F.coalesce(property_of(F.col("props"), nodes.schema["props"].dataType, "is_test").cast("string"), F.lit("false")) == "true" if "props" in nodes.columns else F.lit(False)
+    n = nodes.select("id", "name", (flagged | is_test_path(F.col("file_path"))).alias("in_test"))
     calls = edges.filter("type = 'CALLS'").select("source_id", "target_id")
     j = calls.join(n.select(F.col("id").alias("source_id"), F.col("name").alias("s"), F.col("in_test").alias("st")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("in_test").alias("tt")), "target_id")
-    return j.filter(F.col("st") & ~F.col("tt") & F.col("s").rlike("^(test|Test|it_|should|spec)|(Test|_test|Spec)$")).select("source_id", "target_id").distinct()
+    return j.filter(F.col("st") & ~F.col("tt") & is_test_name(F.col("s"))).select("source_id", "target_id").distinct()
 
 
 def test_files(paths: DataFrame) -> DataFrame:
@@ -125,7 +129,8 @@ def test_files(paths: DataFrame) -> DataFrame:
 
 
 def trackable(path: Column) -> Column:
-    return ~path.rlike(r"(^|/)(node_modules|vendor|dist|build|\.git|__pycache__)/|\.(lock|min\.js|map|png|jpe?g|gif|ico|svg|pdf|zip|woff2?)$|(^|/)(package-lock\.json|yarn\.lock|go\.sum|Cargo\.lock)$")
+    """Neither in a directory that is never source, nor a lock file, nor of a kind that nobody edits."""
+    return ~path.rlike(r"^(\.git|node_modules|vendor|__pycache__|\.cache)/|(^|/)(package-lock\.json|pnpm-lock\.yaml)$|\.(lock|sum|min\.js|min\.css|map|wasm|png|jpg|gif|ico|svg)$")
 
 
 def change_coupling(commits: DataFrame, least: int = 3, least_score: float = 0.3, most_files: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -215,8 +216,20 @@ def search_text(graph: GraphView, query: list[str], limit: int = 10) -> DataFram
     return found.select("id", "name", (F.col("score") + boost).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+#: Ends of test files' names, parts of them, and directories of tests.
+TEST_ENDS = ["_test.go", "_test.py", "_test.rs", "_test.cpp", "_test.lua", "Test.java", "Test.kt", "Test.cs", "Test.php", "Spec.scala", "_spec.rb"]
+TEST_PARTS = [".test.ts", ".spec.ts", ".test.js", ".spec.js", ".test.tsx", ".spec.tsx"]
+TEST_FOLDERS = ["__tests__", "tests", "test", "spec"]
+_test_path = "|".join([r"(^|/)test_[^/]*$", *(f"{re.escape(x)}$" for x in TEST_ENDS), *map(re.escape, TEST_PARTS), "__tests__/", *(f"(^|/){x}/" for x in TEST_FOLDERS)])
+
+
 def is_test_path(path: Column) -> Column:
-    return F.coalesce(path, F.lit("")).rlike(r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|_test\.[^/.]+$|\.(test|spec)\.[^/.]+$|(Test|Tests|Spec)\.[^/.]+$")
+    return F.coalesce(path, F.lit("")).rlike(_test_path)
+
+
+def is_test_name(name: Column) -> Column:
+    """Names of test functions in any language: Test, Benchmark, Example before a capital or alone, test_ or testX, and the hooks of test runners."""
+    return F.coalesce(name, F.lit("")).rlike("^(Test|Benchmark|Example)($|[A-Z])|^test_|^test[A-Z]|^(test|it|describe|beforeAll|afterAll|beforeEach|afterEach|@testset|@test)$")
 
 
 def search_code(sources: DataFrame, pattern: str) -> DataFrame:

@@ -6,6 +6,8 @@ hop, so plans don't grow with the depth.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,15 @@ def steps(graph: GraphView, kinds: tuple[str, ...] = (), direction: str = "out")
     return out if direction == "out" else back if direction == "in" else out.union(back)
 
 
-def reach(graph: GraphView, seeds: DataFrame, kinds: tuple[str, ...] = (), direction: str = "out", max_depth: int = 5) -> DataFrame:
-    """id, hop of every node within max_depth hops of a seed (id), with its least hop; seeds are left out."""
-    ways = steps(graph, kinds, direction)
+def reach(graph: GraphView, seeds: DataFrame, kinds: tuple[str, ...] = (), direction: str = "out", max_depth: int | None = 5) -> DataFrame:
+    """id, hop of every node within max_depth hops of a seed (id), or any number of hops, with its least hop; seeds are left out.
+
+    The ways are written once, in the order of the side that is joined at each hop; the edges are not derived again.
+    """
+    ways = written(steps(graph, kinds, direction).distinct(), "reach-ways")
     seen = written(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "reach")
     front = seen
-    for hop in range(1, max_depth + 1):
+    for hop in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         near = front.select(F.col("id").alias("here")).join(ways, "here").select(F.col("there").alias("id")).distinct()
         front = written(near.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)), "reach-front")
         if front.isEmpty():
@@ -99,7 +104,7 @@ def dependents(graph: GraphView, paths: DataFrame) -> DataFrame:
     return n.join(sources, "id", "left_semi").select("file_path").filter("file_path is not null and file_path <> ''").distinct().join(paths, "file_path", "left_anti")
 
 
-def call_depth(graph: GraphView, max_depth: int = 32) -> DataFrame:
+def call_depth(graph: GraphView, max_depth: int | None = None) -> DataFrame:
     """id, depth below routes, files, modules and packages, or below nodes that nothing calls if there is none of these; 0 out of reach."""
     seeds = graph.nodes.filter(F.col("label").isin("Route", "File", "Module", "Package")).select("id")
     if seeds.isEmpty():
@@ -163,11 +168,11 @@ def cycles(graph: GraphView, kinds: tuple[str, ...] = ("CALLS",)) -> DataFrame:
     return found.groupBy("id").agg(F.min("component").alias("component"))
 
 
-def loop_depths(graph: GraphView, max_depth: int = 256) -> DataFrame:
+def loop_depths(graph: GraphView) -> DataFrame:
     """id, transitive_loop_depth, recursive of functions and methods: own loop depth plus the greatest of what they call.
 
     Calls inside a cycle add nothing and mark both ends as recursive; the other calls have no cycles, so a longest path is
-    found by as many rounds as the longest chain of calls, max_depth at most.
+    found by as many rounds as the longest chain of calls.
     """
     own = graph.nodes.filter(F.col("label").isin("Function", "Method")).select("id", F.coalesce(graph.node_property("loop_depth").cast("string").try_cast("int"), F.lit(0)).alias("own"))
     rings = written(cycles(graph), "loops-rings")
@@ -175,7 +180,7 @@ def loop_depths(graph: GraphView, max_depth: int = 256) -> DataFrame:
     e = e.join(rings.select(F.col("id").alias("here"), F.col("component").alias("c1")), "here", "left").join(rings.select(F.col("id").alias("there"), F.col("component").alias("c2")), "there", "left")
     e = written(e.filter(~F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)) & (F.col("here") != F.col("there"))).select("here", "there"), "loops-edges")
     depth = written(own.withColumn("total", F.col("own")), "loops-depth")
-    for _ in range(max_depth):
+    while True:
         below = e.join(depth.select(F.col("id").alias("there"), "total"), "there").groupBy(F.col("here").alias("id")).agg(F.max("total").alias("below"))
         new = written(depth.join(below, "id", "left").select("id", "own", (F.col("own") + F.coalesce("below", F.lit(0))).alias("total"), F.col("total").alias("was")), "loops-depth")
         depth = new.select("id", "own", "total")

@@ -92,6 +92,12 @@ def idf(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.distinct().groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.ln(F.lit(float(max(n, 1))) / F.col("df")))
 
 
+def idf_of(texts: DataFrame, tokens: str, n: int) -> DataFrame:
+    """What idf gives, of texts with an array of tokens each: tokens are made distinct within the row, so only counts are shuffled."""
+    each = texts.select(F.explode(F.array_distinct(tokens)).alias("token"))
+    return each.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.ln(F.lit(float(max(n, 1))) / F.col("df")))
+
+
 def tfidf(tokens: DataFrame, n: int) -> DataFrame:
     """doc, token, weight over the true vocabulary."""
     tf = tokens.groupBy("doc", "token").agg(F.count("*").alias("tf"))
@@ -150,7 +156,7 @@ def combined(signals: dict[str, Column], near: Column, jaccard: Column) -> Colum
     return F.when(jaccard >= 0.95, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * near)))
 
 
-def budgeted(scored: DataFrame, least: float = 0.75, most: int = 10, rounds: int = 50) -> DataFrame:
+def budgeted(scored: DataFrame, least: float = 0.75, most: int = 10) -> DataFrame:
     """a, b, score of pairs of least score or more, admitted in (score, a, b) order while neither end has most edges.
 
     A pair is settled when it is among the first most of both ends that are still open: so each round admits what a sequential
@@ -160,9 +166,7 @@ def budgeted(scored: DataFrame, least: float = 0.75, most: int = 10, rounds: int
 
     left = written(scored.filter(F.col("score") >= least).select("a", "b", "score"), "budget")
     done: DataFrame | None = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():  # each round settles the best pair that is left, at least
         ends = left.select(F.col("a").alias("n"), "a", "b", "score").union(left.select("b", "a", "b", "score"))
         if done is not None:
             used = done.select(F.col("a").alias("n")).union(done.select("b")).groupBy("n").agg(F.count("*").alias("used"))

@@ -66,13 +66,18 @@ ORACLES = {
  t AS (SELECT f, count(*) AS total FROM f GROUP BY f),
  p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS co_changes, max(a.ts) AS last_co_change FROM f a JOIN f b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 3)
  SELECT file_a, file_b, co_changes, round(co_changes / least(x.total, y.total), 6) AS coupling_score, last_co_change FROM p JOIN t x ON x.f = file_a JOIN t y ON y.f = file_b WHERE co_changes / least(x.total, y.total) >= 0.15""",
-    "rj_resolve": """WITH s AS (SELECT DISTINCT 'lib.' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '.f' || (p_partkey % 97) AS q FROM part)
- SELECT o_orderkey AS call_id, q AS qualified_name, 0.9::DOUBLE AS confidence, 'high' AS band FROM orders JOIN s ON q = 'lib.Brand' || (o_custkey % 30) || '.f' || (o_orderkey % 120) WHERE o_orderkey % 3 = 0""",
+    "rj_resolve": """WITH s AS (SELECT q, string_split(q, '.')[3] AS simple, count(*) OVER (PARTITION BY string_split(q, '.')[3]) AS n FROM (SELECT DISTINCT 'lib.' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '.f' || (p_partkey % 97) AS q FROM part)),
+ c AS (SELECT o_orderkey AS call_id, 'lib.Brand' || (o_custkey % 30) AS module, 'f' || (o_orderkey % 120) AS callee FROM orders),
+ d AS (SELECT DISTINCT module, callee FROM c),
+ m AS (SELECT module, callee, q, n, q = module || '.' || callee AS own, len(list_filter(range(1, 1 + least(len(q), len(module))), lambda k: q[1:k] = module[1:k])) AS near FROM d JOIN s ON simple = callee WHERE n <= 256),
+ r AS (SELECT *, row_number() OVER (PARTITION BY module, callee ORDER BY own DESC, near DESC, q) AS k FROM m),
+ x AS (SELECT module, callee, q AS qualified_name, CASE WHEN own THEN 'same_module' WHEN n = 1 THEN 'unique_name' ELSE 'suffix_match' END AS strategy, CASE WHEN own THEN 0.9::DOUBLE WHEN n = 1 THEN 0.75::DOUBLE ELSE 0.55::DOUBLE * least(1.0::DOUBLE, 3.0::DOUBLE / n) END AS confidence FROM r WHERE k = 1)
+ SELECT call_id, qualified_name, strategy, confidence, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' WHEN confidence >= 0.25 THEN 'speculative' ELSE '' END AS band FROM c JOIN x USING (module, callee)""",
     "rj_division": """WITH h AS (SELECT DISTINCT l_suppkey AS class, l_returnflag || l_linestatus || l_linenumber AS m FROM lineitem),
  n AS (SELECT 'all7' AS interface, a || k AS m FROM (VALUES ('AF'), ('NO'), ('RF')) t(a), range(1, 8) r(k) UNION ALL VALUES ('some', 'AF1'), ('some', 'NO2'))
  SELECT class, interface FROM (SELECT DISTINCT class FROM h) c CROSS JOIN (SELECT DISTINCT interface FROM n) i WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.interface = i.interface AND NOT EXISTS (SELECT 1 FROM h WHERE h.class = c.class AND h.m = n.m))""",
     "rj_route_match": """WITH c AS (SELECT page_id, regexp_extract(regexp_replace(url, '#.*$', ''), '^[^/]*//[^/]*(/[^?]*)', 1) AS p FROM pages)
  SELECT page_id AS call_id, 'en' AS route, 'template' AS kind FROM c WHERE regexp_full_match(p, '/en/[^/]+') UNION ALL SELECT page_id, 'any', 'template' FROM c WHERE regexp_full_match(p, '/[^/]+/[^/]+')""",
-    "rj_test_files": "SELECT 'src/tests/test_m' || p_partkey || '.py' AS test, 'src/m' || p_partkey || '.py' AS tested FROM part WHERE p_partkey <= 200 AND p_partkey % 4 = 0",
+    "rj_test_files": "SELECT 'src/tests/test_m' || p_partkey || '.py' AS test, 'src/m' || p_partkey || '.py' AS tested FROM part",
     "rj_band": "SELECT CASE WHEN l_discount * 10 >= 0.7 THEN 'high' WHEN l_discount * 10 >= 0.45 THEN 'medium' WHEN l_discount * 10 >= 0.25 THEN 'speculative' ELSE '' END AS band, count(*) AS n FROM lineitem GROUP BY 1",
 }

@@ -30,7 +30,7 @@ def _tokens(spark, sf_dir):
 
 def _idf(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    return v.idf(_tokens(spark, sf_dir), n).select("token", "df", F.round("idf", 6).alias("idf")).filter("df > 20")
+    return v.idf_of(_documents(spark, sf_dir), "tokens", n).select("token", "df", F.round("idf", 6).alias("idf")).filter("df > 20")
 
 
 def _tfidf(spark, sf_dir):
@@ -55,6 +55,6 @@ ORACLES = {
     "vs_cosine": "SELECT a.vec_id AS a, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "vs_idf": f"WITH {_T} SELECT token, df, round(ln(n::DOUBLE / df), 6) AS idf FROM i, n WHERE df > 20",
     "vs_tfidf": f"WITH {_T} SELECT doc, round(sum(ln(n::DOUBLE / df)), 4) AS weight FROM t JOIN i USING (token), n GROUP BY doc",
-    "vs_cooccurrence": f"WITH d AS (SELECT doc_id AS doc, {TOKENS} AS w FROM documents WHERE doc_id < 50), t AS (SELECT doc, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM d) SELECT a.token, b.token AS near, round(sum(1.0 / abs(a.at - b.at))::DOUBLE, 4) AS weight FROM t a JOIN t b ON a.doc = b.doc AND abs(a.at - b.at) BETWEEN 1 AND 2 GROUP BY 1, 2 HAVING sum(1.0 / abs(a.at - b.at)) > 20",
+    "vs_cooccurrence": f"WITH d AS (SELECT doc_id AS doc, {TOKENS} AS w FROM documents), t AS (SELECT doc, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM d) SELECT a.token, b.token AS near, round(sum(1.0 / abs(a.at - b.at))::DOUBLE, 4) AS weight FROM t a JOIN t b ON a.doc = b.doc AND abs(a.at - b.at) BETWEEN 1 AND 2 GROUP BY 1, 2 HAVING sum(1.0 / abs(a.at - b.at)) > 20",
     "vs_label_sums": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), s AS (SELECT label, k, sum(v) AS v FROM x GROUP BY 1, 2) SELECT label, round(sqrt(sum(v * v)), 3) AS length FROM s GROUP BY 1",
 }

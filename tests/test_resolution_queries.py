@@ -26,10 +26,10 @@ def test_all_orders_resolve_by_every_strategy(spark, tmp_path):
         if f"{module}.{name}" in symbols:
             want[order] = f"{module}.{name}", "same_module", 0.9, "high"
         elif len(named) == 1:
-            want[order] = named[0], "unique_name", 0.375, "speculative"
+            want[order] = named[0], "unique_name", 0.75, "high"
         elif named:
-            c = round(0.55 * min(1, 3 / len(named)) * 0.5, 6)
-            want[order] = min(named, key=lambda q: (-shared(q, module), q)), "suffix_match", c, "speculative" if c >= 0.25 else ""
+            c = round(0.55 * min(1, 3 / len(named)), 6)
+            want[order] = min(named, key=lambda q: (-shared(q, module), q)), "suffix_match", c, "medium" if c >= 0.45 else "speculative" if c >= 0.25 else ""
     rows = all_queries()[0]["rj_resolve"](spark, str(tmp_path)).collect()
     assert {r.call_id: (r.qualified_name, r.strategy, round(r.confidence, 6), r.band) for r in rows} == want and len(rows) == len(want)
     assert {w[1] for w in want.values()} == {"same_module", "unique_name", "suffix_match"}
