@@ -94,6 +94,12 @@ def degrees(graph: GraphView, kinds: tuple[str, ...] | None = None) -> DataFrame
     return graph.nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
+def node_degree(graph: GraphView, node: int) -> DataFrame:
+    """One row: in_degree and out_degree of a node over CALLS alone."""
+    calls = graph.edges.filter((F.col("type") == "CALLS") & ((F.col("source_id") == node) | (F.col("target_id") == node)))
+    return calls.agg(F.count(F.when(F.col("target_id") == node, 1)).alias("in_degree"), F.count(F.when(F.col("source_id") == node, 1)).alias("out_degree"))
+
+
 def callers_and_callees(graph: GraphView, limit: int = 10) -> DataFrame:
     """id, callers, callees: names over the three kinds of call, at most limit each, by name."""
     calls = graph.edges.filter(F.col("type").isin("CALLS", "HTTP_CALLS", "ASYNC_CALLS"))

@@ -113,3 +113,25 @@ def star_view(spark: SparkSession, sf_dir: str) -> GraphView:
     ]
     union = lambda parts: parts[0] if len(parts) == 1 else union(parts[:-1]).unionByName(parts[-1])
     return GraphView(union(nodes), union(edges))
+
+
+CODE_PROPS = ["is_test", "is_entry_point", "is_exported", "method", "path", "handler"]
+
+
+def code_view(spark: SparkSession, sf_dir: str) -> GraphView:
+    """Parts as functions, methods and routes of packages by brand, with flags by size; parts of one order that follow one another call, those two places apart use one another."""
+    part, line = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
+    c, size, brand = F.col, F.col("p_size"), F.regexp_replace("p_brand", "#", "")
+    label = F.when(size == 1, "Route").when(size % 2 == 0, "Function").otherwise("Method")
+    name = F.concat(F.when(size % 11 == 0, "test_").otherwise("f"), c("p_partkey").cast("string"))
+    qn, start = F.concat_ws(".", F.lit("shop.src"), brand, name), (c("p_partkey") % 1000 + 1).cast("int")
+    route = lambda x: F.when(size == 1, x)
+    bag = F.struct((size % 11 == 0).alias("is_test"), (size % 7 == 0).alias("is_entry_point"), (size % 3 == 0).alias("is_exported"), route(F.lit("GET")).alias("method"), route(F.concat_ws("/", F.lit(""), brand, c("p_partkey").cast("string"))).alias("path"), route(qn).alias("handler"))
+    nodes = part.select(c("p_partkey").alias("id"), F.lit("shop").alias("project"), label.alias("label"), name.alias("name"), qn.alias("qualified_name"), F.concat(F.when(size % 13 == 0, "tests/").otherwise("src/"), brand, F.lit(".py")).alias("file_path"), start.alias("start_line"), (start + size).cast("int").alias("end_line"), bag.alias("props"))
+
+    def following(step: int, kind: str) -> DataFrame:
+        a = line.select("l_orderkey", (c("l_linenumber") + step).alias("l_linenumber"), c("l_partkey").alias("source_id"))
+        pairs = a.join(line.select("l_orderkey", "l_linenumber", c("l_partkey").alias("target_id")), ["l_orderkey", "l_linenumber"]).select("source_id", "target_id").distinct()
+        return pairs.select(F.xxhash64("source_id", "target_id", F.lit(kind)).alias("id"), F.lit("shop").alias("project"), "source_id", "target_id", F.lit(kind).alias("type"), F.lit("{}").alias("props"))
+
+    return GraphView(nodes, following(1, "CALLS").unionByName(following(2, "USAGE")))
