@@ -12,6 +12,7 @@ from graphloom.llm.bpe import bpe_round_trip
 from graphloom.llm.main_text import with_main_text
 from graphloom.llm.mixing import mixed
 from graphloom.llm.near_dup import near_duplicates
+from graphloom.llm.oracles import OP5_SQL, OP7_SQL
 from graphloom.llm.quality_model import scored
 from graphloom.llm.quality_rules import with_quality
 from graphloom.llm.token_counts import token_counts
@@ -127,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_top_k": op10_top_k,
 }
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
     "op6_warc_zstd": OP6_SQL,
+    "op7_near_dup": OP7_SQL,
     "op10_top_k": OP10_SQL,
 }
