@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.patterns import matches_glob, regex_hints
 from graphloom.functions.text import camel_split
 from graphloom.plans.model import GraphView
+from graphloom.storage import written
 
 
 class AmbiguousError(LookupError):
@@ -201,6 +202,7 @@ def bm25(documents: DataFrame, id_column: str, text: Column, query: list[str]) -
     terms = sorted({t.lower() for t in query})
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     base = documents.select(F.col(id_column).alias("id"), words.alias("w")).select("id", F.size("w").alias("len"), *((F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf{k}") for k, t in enumerate(terms)))
+    base = written(base, "bm25")  # a few numbers a row, in place of a second pass over the texts
     stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(terms))))
     joined = base.join(F.broadcast(stats))
     score = F.lit(0.0)

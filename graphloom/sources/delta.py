@@ -27,27 +27,41 @@ def versions(spark: SparkSession, folder: str) -> list[int]:
 
 def published(df: DataFrame, folder: str) -> int:
     """Writes df as the next version and returns its number. A version exists from the moment its marker is renamed into place; two writers can't publish one number."""
-    spark = df.sparkSession
-    fs, path = _fs(spark, folder)
     data = f"{folder}/data-{uuid.uuid4().hex}"
     df.write.parquet(data)
+    return _pointed(df.sparkSession, folder, [data])
+
+
+def _pointed(spark: SparkSession, folder: str, data: list[str]) -> int:
+    fs, path = _fs(spark, folder)
     number = (versions(spark, folder) or [0])[-1] + 1
     draft = path(f"{folder}/.draft-{uuid.uuid4().hex}")
     out = fs.create(draft)
-    out.write(bytearray(data.encode()))
+    out.write(bytearray("\n".join(data).encode()))
     out.close()
     if not fs.rename(draft, path(f"{folder}/v{number}.done")):
         raise RuntimeError(f"version {number} of {folder} was published by another writer")
     return number
 
 
+def appended_version(df: DataFrame, folder: str, part: str) -> int:
+    """The next version: all of the last one, and df, which alone is written, under the name of its part. A part that the last version has already is not added again; returns its number."""
+    spark = df.sparkSession
+    known = versions(spark, folder)
+    parts = [r[0] for r in spark.read.text(f"{folder}/v{known[-1]}.done").collect()] if known else []
+    data = f"{folder}/{part}"
+    if data in parts:
+        return known[-1]
+    df.write.mode("overwrite").parquet(data)  # what a run that failed has left
+    return _pointed(spark, folder, [*parts, data])
+
+
 def read_version(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame | None:
     """A version, the latest by default; None if there is none."""
     known = versions(spark, folder)
     if not known or number is not None and number not in known:
         return None
-    marker = spark.read.text(f"{folder}/v{number or known[-1]}.done").first()[0]
-    return spark.read.parquet(marker)
+    return spark.read.parquet(*(r[0] for r in spark.read.text(f"{folder}/v{number or known[-1]}.done").collect()))
 
 
 def generation(spark: SparkSession, folder: str) -> str:

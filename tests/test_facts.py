@@ -101,3 +101,34 @@ def test_artifacts(spark, tmp_path):
     (tmp_path / ".git/HEAD").write_text("ref: refs/heads/main\n")
     (tmp_path / ".git/refs/heads/main").write_text("abc\n")
     assert artifact.git_context(str(tmp_path)) == {"branch": "main", "head": "abc"} and artifact.git_context("/nowhere") == {"branch": "", "head": ""}
+
+
+def test_equal_lines_and_appended_batches(spark, tmp_path):
+    from graphloom.sources import delta
+    from graphloom.streaming import feed
+
+    inbox, store = tmp_path / "in", f"file://{tmp_path}/store"
+    inbox.mkdir()
+    line = '{"author": "a", "timestamp_ms": 5, "content": "twice"}\n'
+    for k in range(3):
+        (inbox / f"{k}.jsonl").write_text(line * (k + 1) + "bad\n")
+        feed.watch(spark, f"file://{inbox}", store, f"file://{tmp_path}/ck").awaitTermination()
+    rows = delta.read_version(spark, f"{store}/records")
+    assert rows.count() == 6 and rows.select("id").distinct().count() == 6 and delta.read_version(spark, f"{store}/records", 1).count() == 1
+    assert delta.read_version(spark, f"{store}/dead_letters").count() == 3
+    # A batch that is run again adds nothing.
+    n = delta.versions(spark, f"{store}/records")[-1]
+    assert delta.appended_version(rows.limit(1), f"{store}/records", "batch-2") == n and delta.read_version(spark, f"{store}/records").count() == 6
+
+
+def test_p99_of_split_groups(spark):
+    import random
+
+    from graphloom.streaming.feed import p99
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "a", None, "b"]), rnd.random()) for _ in range(3000)] + [("one", 4.0)]
+    got = {r.k: r.p99 for r in p99(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in {k for k, _ in rows}:
+        own = sorted(v for g, v in rows if g == k)
+        assert got[k] == own[min(int(len(own) * 0.99), len(own) - 1)]
