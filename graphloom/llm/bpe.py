@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Remembered, arrow_rows
+from graphloom.llm.common import Remembered, arrow_rows, uncollected
 
 #: Stands for the end of a word inside token strings.
 END = "\0"
@@ -227,7 +227,8 @@ def bpe_round_trip(df: DataFrame, definition: str, id_column: str = "doc_id", te
 
     def make(columns: dict[str, pa.Array]):
         bpe = coder(sent.value)
-        done = [bpe.packed(t) for t in columns["text"].to_pylist()]
+        with uncollected():
+            done = [bpe.packed(t) for t in columns["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([columns["id"], pa.array([d[0] for d in done], pa.binary()), pa.array([d[1].decode() for d in done], pa.string())], names=[id_column, "token_ids", "decoded"])
 
     return arrow_rows(df, [F.col(id_column).alias("id"), F.col(text_column).alias("text")], make, f"`{id_column}` {kind}, token_ids binary, decoded string", after=forget)

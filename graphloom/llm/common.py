@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,18 @@ class Remembered(dict):
         self.room = self.budget
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No garbage collection inside: for code that makes no cycles but keeps many small objects, which the collector would walk through again and again."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches of the session's Python operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
