@@ -30,7 +30,7 @@ def main() -> None:
             if turn == 0 and runs[0] > 60:
                 break
         seconds[name] = round(statistics.median(runs[1:] or runs), 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "settings": {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")} | {"master": f"local[{cpus}]"}}))
 
 
 if __name__ == "__main__":
