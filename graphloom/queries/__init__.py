@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from graphloom.queries import architecture, code, language, records, resolution, search, similarity, text, traversal, vectors
+    from graphloom.queries import architecture, code, edges, language, records, resolution, search, similarity, text, traversal, vectors
 
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (language, search, traversal, architecture, code, resolution, text, similarity, vectors, records):
+    for module in (language, search, traversal, architecture, code, resolution, edges, text, similarity, vectors, records):
         found |= module.QUERIES
         sql |= module.ORACLES
     return found, sql
