@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import architecture as a
-from graphloom.operators import facts, resolve
+from graphloom.operators import facts, resolve, semantic
 from graphloom.operators import search as s
 from graphloom.operators import traverse as t
-from graphloom.plans.model import code_view
+from graphloom.plans.model import GraphView, code_view, deduplicated_edges
+from graphloom.sources import artifact, delta
 
 NODES = """(SELECT p_partkey AS id, CASE WHEN p_size = 1 THEN 'Route' WHEN p_size % 2 = 0 THEN 'Function' ELSE 'Method' END AS label, CASE WHEN p_size % 11 = 0 THEN 'test_' ELSE 'f' END || p_partkey AS name,
  'shop.src.' || replace(p_brand, '#', '') || '.' || CASE WHEN p_size % 11 = 0 THEN 'test_' ELSE 'f' END || p_partkey AS qn, replace(p_brand, '#', '') AS package, CASE WHEN p_size % 13 = 0 THEN 'tests/' ELSE 'src/' END || replace(p_brand, '#', '') || '.py' AS path,
@@ -42,6 +43,23 @@ def _none(g):
     return g.nodes.sparkSession.createDataFrame([], "module string, alias string, target string")
 
 
+def _tally(g):
+    return g.nodes.groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n")).union(g.edges.groupBy("type").agg(F.count("*")))
+
+
+def _patched(g):
+    """One file's functions get other ids, and keep their names; edges from other files follow them."""
+    paths = g.nodes.sparkSession.createDataFrame([("src/Brand11.py",)], "file_path string")
+    new = g.nodes.filter("file_path = 'src/Brand11.py'").withColumn("id", -F.col("id") - 1)
+    return delta.patched(g, new, g.edges.limit(0), paths).edges.select("source_id", "target_id", "type")
+
+
+def _dumped(g):
+    """Fresh ids in the order of names, seen through the edges: how far apart the ends' places are."""
+    d = artifact.dumped(g)
+    return d.edges.select("source_id", "target_id", "type")
+
+
 QUERIES = {
     "ar_code_packages": _view(a.packages),
     "ar_code_layers": _view(a.layers),
@@ -63,6 +81,14 @@ QUERIES = {
     "sr_edges_by": _view(lambda g: s.edges_by(g, source=77, kind="USAGE").select("source_id", "target_id")),
     "sr_call_pairs": _view(lambda g: s.call_pairs(g, 500)[0]),
     "sr_by_degree": _view(lambda g: s.search(g, s.Search(sort_by="degree", limit=20))[0].select("id", "name")),
+    "sr_connected": _view(lambda g: _named(s.matching(g, s.Search(include_connected=True, label="Function")), "connected")),
+    "sr_call_names": _view(lambda g: _named(semantic.neighbours(g.nodes, g.edges.filter("type = 'CALLS'")), "names")),
+    "ad_without": _view(lambda g: _tally(delta.without(g, label="Route"))),
+    "ad_merged": _view(lambda g: artifact.merged(g, GraphView(g.nodes.filter("id % 3 = 0").withColumn("name", F.lit("new")), g.edges.limit(0))).nodes.select("id", "name")),
+    "ad_edges": _view(lambda g: deduplicated_edges(g.edges.union(g.edges).union(g.edges.withColumn("type", F.lit("CALLS")))).select("source_id", "target_id", "type")),
+    "st_patched": _view(_patched),
+    "st_carried": _view(lambda g: artifact.carried(g.nodes.withColumn("project", F.when(F.col("id") % 2 == 0, "even").otherwise("odd")), g.nodes.withColumn("project", F.lit("even")).withColumn("name", F.lit("new")), "even").select("id", "project", "name")),
+    "sk_dumped": _view(_dumped),
     "gr_node_degree": _view(lambda g: s.node_degree(g, 77)),
 }
 ORACLES = {
@@ -86,5 +112,13 @@ ORACLES = {
     "sr_edges_by": f"WITH {CTE} SELECT s AS source_id, t AS target_id FROM e WHERE s = 77 AND type = 'USAGE'",
     "sr_call_pairs": f"WITH {CTE} SELECT s AS source_id, t AS target_id FROM e JOIN n a ON a.id = s JOIN n b ON b.id = t WHERE type = 'CALLS' AND a.label <> 'Route' AND b.label <> 'Route' ORDER BY s, t LIMIT 500",
     "sr_by_degree": f"WITH {CTE} SELECT n.id, name FROM n ORDER BY (SELECT count(*) FROM e WHERE t = n.id) + (SELECT count(*) FROM e WHERE s = n.id) DESC, n.id LIMIT 20",
+    "sr_connected": f"WITH {CTE}, r AS (SELECT t AS id, name, row_number() OVER (PARTITION BY t ORDER BY name, n.id) AS k FROM e JOIN n ON n.id = s WHERE type = 'CALLS' UNION ALL SELECT s, name, row_number() OVER (PARTITION BY s ORDER BY name, n.id) FROM e JOIN n ON n.id = t WHERE type = 'CALLS'), u AS (SELECT DISTINCT id, name FROM r WHERE k <= 10) SELECT n.id, coalesce((SELECT string_agg(u.name, ',' ORDER BY u.name) FROM u WHERE u.id = n.id), '') AS connected FROM n WHERE label = 'Function'",
+    "sr_call_names": f"WITH {CTE}, r AS (SELECT s AS id, name, row_number() OVER (PARTITION BY s ORDER BY name) AS k FROM (SELECT DISTINCT s, name FROM e JOIN n ON n.id = t WHERE type = 'CALLS')) SELECT id, string_agg(name, ',' ORDER BY name) AS names FROM r WHERE k <= 64 GROUP BY id",
+    "ad_without": f"WITH {CTE} SELECT label AS kind, count(*) AS n FROM n WHERE label <> 'Route' GROUP BY 1 UNION ALL SELECT type, count(*) FROM e JOIN n a ON a.id = s JOIN n b ON b.id = t WHERE a.label <> 'Route' AND b.label <> 'Route' GROUP BY 1",
+    "ad_merged": f"WITH {CTE} SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE name END AS name FROM n",
+    "ad_edges": f"WITH {CTE} SELECT s AS source_id, t AS target_id, type FROM e UNION SELECT s, t, 'CALLS' FROM e",
+    "st_patched": f"WITH {CTE}, g AS (SELECT id FROM n WHERE path = 'src/Brand11.py') SELECT s AS source_id, CASE WHEN t IN (FROM g) THEN -t - 1 ELSE t END AS target_id, type FROM e WHERE s NOT IN (FROM g)",
+    "st_carried": f"WITH {CTE} SELECT id, 'odd' AS project, name FROM n WHERE id % 2 = 1 UNION ALL SELECT id, 'even', 'new' FROM n",
+    "sk_dumped": f"WITH {CTE}, p AS (SELECT id, row_number() OVER (ORDER BY qn, id) AS k FROM n) SELECT a.k AS source_id, b.k AS target_id, type FROM e JOIN p a ON a.id = s JOIN p b ON b.id = t",
     "gr_node_degree": f"WITH {CTE} SELECT count(*) FILTER (t = 77) AS in_degree, count(*) FILTER (s = 77) AS out_degree FROM e WHERE type = 'CALLS'",
 }

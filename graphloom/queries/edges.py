@@ -165,7 +165,7 @@ def _decorator_routes(pages):
 def _validated(spark, sf_dir):
     spans = _read(spark, sf_dir, "events").select(F.concat(lit("/"), c("event_type"), lit("/{id}")).alias("path"), c("user_id").cast("long").alias("duration_ns"))
     calls = _read(spark, sf_dir, "pages").select(c("page_id").alias("source_id"), (c("page_id") + 1).alias("target_id"), F.when(c("page_id") % 2 == 0, "/click/:id").when(c("page_id") % 3 == 0, "/view/<id>").otherwise("/none").alias("url_path"))
-    return facts.validated_calls(calls, spans)
+    return facts.validated_calls(calls, spans).fillna(-1, ["p99_ns"])
 
 
 def _imported(spark, sf_dir):
@@ -226,5 +226,5 @@ ORACLES = {
     "rj_decorator_tags": f"WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split_regex(lower(p_name || ' ' || p_type), '[./_\\- (),:]+')) AS w FROM part), x AS (SELECT * FROM w WHERE length(w) > 1 AND w NOT IN {resolve.STOP_WORDS} AND w IN (SELECT w FROM w GROUP BY w HAVING count(*) > 1)) SELECT id, string_agg(w, ',' ORDER BY w) AS tags FROM x GROUP BY id",
     "rj_anchors": "WITH s AS (SELECT 's' || (p_partkey - CASE WHEN p_partkey % 10 = 9 THEN 1 ELSE 0 END) AS q, 'h' || p_partkey AS hash FROM part), r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 > 0 THEN 's' || o_orderkey END AS anchor, CASE o_orderkey % 5 WHEN 1 THEN 'h' || o_orderkey WHEN 2 THEN 'edited' WHEN 3 THEN 'h' || (o_orderkey % 100) END AS hash FROM orders), n AS (SELECT q, count(*) AS n, min(hash) AS now FROM s GROUP BY q), m AS (SELECT hash AS was, min(q) AS to_ FROM s GROUP BY hash), j AS (SELECT id, to_, CASE WHEN anchor IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN n IS NULL THEN 'orphaned' WHEN hash IS NULL OR hash = now THEN 'resolved' ELSE 'resolved_edited' END AS state FROM r LEFT JOIN n ON q = anchor LEFT JOIN m ON was = hash) SELECT id, state, CASE WHEN state = 'orphaned' THEN to_ END AS moved_to FROM j",
     "rj_decorator_routes": f"SELECT 'h' || page_id AS handler, CASE page_id % 3 WHEN 0 THEN 'GET' ELSE 'PUT' END AS method, CASE WHEN page_id % 2 = 0 THEN '/api' ELSE '' END || {_page_path} AS path FROM pages WHERE page_id % 3 < 2",
-    "rj_validated": "WITH e AS (SELECT event_type AS t, count(*) AS seen, list_sort(list(user_id))[least(floor(count(*) * 0.99)::BIGINT, count(*) - 1) + 1]::BIGINT AS p99 FROM events GROUP BY 1), c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'click' WHEN page_id % 3 = 0 THEN 'view' END AS t FROM pages) SELECT page_id AS source_id, page_id + 1 AS target_id, CASE c.t WHEN 'click' THEN '/click/:id' WHEN 'view' THEN '/view/<id>' ELSE '/none' END AS url_path, coalesce(seen, 0) AS seen, p99 AS p99_ns FROM c LEFT JOIN e ON e.t = c.t",
+    "rj_validated": "WITH e AS (SELECT event_type AS t, count(*) AS seen, list_sort(list(user_id))[least(floor(count(*) * 0.99)::BIGINT, count(*) - 1) + 1]::BIGINT AS p99 FROM events GROUP BY 1), c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'click' WHEN page_id % 3 = 0 THEN 'view' END AS t FROM pages) SELECT page_id AS source_id, page_id + 1 AS target_id, CASE c.t WHEN 'click' THEN '/click/:id' WHEN 'view' THEN '/view/<id>' ELSE '/none' END AS url_path, coalesce(seen, 0) AS seen, coalesce(p99, -1) AS p99_ns FROM c LEFT JOIN e ON e.t = c.t",
 }

@@ -97,6 +97,18 @@ PAIRS: dict[str, tuple[str, str]] = {
         "MATCH (s:Supplier)-[:IN_NATION]->(n:Nation) RETURN n.name AS nation, count(DISTINCT s.name) AS names, min(s.acctbal) AS low, max(s.acctbal) AS high, avg(s.acctbal) AS mean, collect(s.id) AS ids",
         "SELECT n_name AS nation, count(DISTINCT s_name) AS names, min(s_acctbal) AS low, max(s_acctbal) AS high, avg(s_acctbal) AS mean, list_sort(list(s_suppkey * 10 + 4)) AS ids FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
     ),
+    "cy_label_test": (
+        "MATCH (n) WHERE n:Region OR n:Nation RETURN labels(n) AS labels, n.name AS name",
+        "SELECT ['Region'] AS labels, r_name AS name FROM region UNION ALL SELECT ['Nation'], n_name FROM nation",
+    ),
+    "cy_keys": (
+        "MATCH (p:Part) RETURN keys(p) AS keys, count(*) AS n",
+        "SELECT ['end_line', 'file_path', 'id', 'label', 'name', 'project', 'qualified_name', 'retailprice', 'size', 'start_line', 'type'] AS keys, count(*) AS n FROM part",
+    ),
+    "cy_properties": (
+        "MATCH (s:Supplier) RETURN s.name AS name, properties(s) CONTAINS 'acctbal' AS has, size(properties(s)) > 12 AS long",
+        "SELECT s_name AS name, true AS has, true AS long FROM supplier",
+    ),
     "cy_limit_zero": ("MATCH (n:Nation) RETURN n.name AS name LIMIT 0", "SELECT n_name AS name FROM nation LIMIT 0"),
 }
 

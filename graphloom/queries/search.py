@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import search as s
-from graphloom.plans.model import star_view
+from graphloom.operators.architecture import languages
+from graphloom.plans.model import GraphView, star_view
 
 NODES = """(SELECT r_regionkey::BIGINT * 10 + 1 AS id, 'Region' AS label, r_name AS name, 'tpch.' || r_name AS qn, r_name AS path FROM region
  UNION ALL SELECT n_nationkey::BIGINT * 10 + 2, 'Nation', n_name, 'tpch.' || r_name || '.' || n_name, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -35,7 +36,22 @@ def _search_code(spark, sf_dir):
     return s.search_code(d, "Licensed under").select("path", "line")
 
 
+def _snippet(spark, sf_dir):
+    """The second to fourth line of a document, as a node's own lines."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    nodes = d.select(F.col("doc_id").alias("id"), F.col("path").alias("qualified_name"), F.col("path").alias("file_path"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return s.snippet(GraphView(nodes, nodes), d.select("path", "text"), "7")
+
+
+def _languages(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    ends = F.element_at(F.array(*map(F.lit, (".py", ".go", ".rs", ".unknown"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return languages(GraphView(p.select(F.lit("File").alias("label"), F.concat("p_name", ends).alias("file_path")), p))
+
+
 QUERIES = {
+    "sr_snippet": _snippet,
+    "ar_languages": _languages,
     "sr_label": _view(lambda g: s.nodes_by(g, label="Supplier").select("id", "name")),
     "sr_suffix": _view(lambda g: s.with_suffix(g, "ASIA").select("id", "qualified_name")),
     "sr_regex": _view(lambda g: s.matching(g, s.Search(name_pattern="customer.*77$", label="Customer")).select("id", "name")),
@@ -55,6 +71,8 @@ QUERIES = {
 }
 DEGREES = f"SELECT n.id, count(*) FILTER (e.t = n.id)::BIGINT AS in_degree, count(*) FILTER (e.s = n.id)::BIGINT AS out_degree FROM {NODES} n JOIN (SELECT s, t, s AS k FROM {EDGES} UNION ALL SELECT s, t, t FROM {EDGES}) e ON e.k = n.id GROUP BY n.id"
 ORACLES = {
+    "sr_snippet": "SELECT '7' AS qualified_name, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS source FROM documents WHERE doc_id = 7",
+    "ar_languages": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'Go' ELSE 'Rust' END AS language, count(*) AS files FROM part WHERE p_partkey % 4 < 3 GROUP BY 1",
     "sr_label": "SELECT s_suppkey * 10 + 4 AS id, s_name AS name FROM supplier",
     "sr_suffix": f"SELECT id, qn AS qualified_name FROM {NODES} WHERE qn = 'ASIA' OR ends_with(qn, '.ASIA')",
     "sr_regex": f"SELECT id, name FROM {NODES} WHERE label = 'Customer' AND regexp_matches(name, '(?i)customer.*77$')",
