@@ -8,7 +8,6 @@ from graphloom.functions.text import url_path
 from graphloom.operators import facts, resolve
 
 c, lit = F.col, F.lit
-KEY = F.col("p_partkey")
 
 
 def _read(spark, sf_dir, table):
@@ -33,7 +32,7 @@ def _name(key):
 
 
 def _things(part):
-    return part.select(KEY.alias("id"), F.concat_ws(".", lit("lib"), _brand(), _name(KEY)).alias("qualified_name"), F.when(KEY % 4 == 0, "Class").otherwise("Function").alias("label"))
+    return part.select(c("p_partkey").alias("id"), F.concat_ws(".", lit("lib"), _brand(), _name(c("p_partkey"))).alias("qualified_name"), F.when(c("p_partkey") % 4 == 0, "Class").otherwise("Function").alias("label"))
 
 
 def _no_imports(df):
@@ -41,36 +40,36 @@ def _no_imports(df):
 
 
 def _fact(part, *more):
-    return part.select(KEY.alias("source_id"), F.concat_ws(".", lit("lib"), _brand()).alias("module"), F.array().cast("array<string>").alias("imports"), *more)
+    return part.select(c("p_partkey").alias("source_id"), F.concat_ws(".", lit("lib"), _brand()).alias("module"), F.array().cast("array<string>").alias("imports"), *more)
 
 
 def _throws(part):
-    return facts.throws(_fact(part, _name(KEY + 1).alias("name")), _things(part), _no_imports(part))
+    return facts.throws(_fact(part, _name(c("p_partkey") + 1).alias("name")), _things(part), _no_imports(part))
 
 
 def _depends(part):
-    signature = F.concat(lit("(a = Depends("), _name(KEY + 1), lit("), b: int, c = Depends("), _name(KEY + 2), lit("))"))
+    signature = F.concat(lit("(a = Depends("), _name(c("p_partkey") + 1), lit("), b: int, c = Depends("), _name(c("p_partkey") + 2), lit("))"))
     return facts.depends(_fact(part, signature.alias("signature")), _things(part), _no_imports(part))
 
 
 def _defined(part):
     """A file for each brand, a class for every fifth part, and methods of the class before them."""
     path = F.concat(lit("src/"), _brand(), lit(".py"))
-    own = KEY - KEY % 5
+    own = c("p_partkey") - c("p_partkey") % 5
     files = part.select((-1 - F.regexp_extract("p_brand", "[0-9]+", 0).cast("long")).alias("id"), lit("shop").alias("project"), lit("File").alias("label"), path.alias("file_path"), path.alias("qualified_name"), lit(None).cast("string").alias("parent_class")).distinct()
-    inside = part.select(KEY.alias("id"), lit("shop").alias("project"), F.when(KEY == own, "Class").otherwise("Method").alias("label"), path.alias("file_path"), F.concat(lit("shop.c"), _text(KEY)).alias("qualified_name"), F.when(KEY != own, F.concat(lit("shop.c"), _text(own))).alias("parent_class"))
+    inside = part.select(c("p_partkey").alias("id"), lit("shop").alias("project"), F.when(c("p_partkey") == own, "Class").otherwise("Method").alias("label"), path.alias("file_path"), F.concat(lit("shop.c"), _text(c("p_partkey"))).alias("qualified_name"), F.when(c("p_partkey") != own, F.concat(lit("shop.c"), _text(own))).alias("parent_class"))
     return files.union(inside)
 
 
 def _imports(part):
     path = F.concat(lit("src/"), _brand(), lit(".py"))
-    named = part.select(lit("shop").alias("project"), path.alias("file_path"), F.concat(lit("shop.c"), _text(KEY + 1)).alias("target"), F.when(c("p_size") % 3 > 0, F.concat(lit("n"), _text(c("p_size") % 3))).alias("local_name"))
+    named = part.select(lit("shop").alias("project"), path.alias("file_path"), F.concat(lit("shop.c"), _text(c("p_partkey") + 1)).alias("target"), F.when(c("p_size") % 3 > 0, F.concat(lit("n"), _text(c("p_size") % 3))).alias("local_name"))
     return facts.import_edges(named.union(named), _defined(part))
 
 
 def _inherits(part):
-    nodes = part.select(KEY.alias("id"), F.concat(lit("c"), _text(KEY)).alias("name"), F.when(KEY % 3 == 0, "Interface").when(KEY % 3 == 1, "Class").otherwise("Function").alias("label"))
-    return resolve.inheritance(part.select(KEY.alias("source_id"), F.concat(lit("c"), _text(KEY * 7 + 1)).alias("base")), nodes)
+    nodes = part.select(c("p_partkey").alias("id"), F.concat(lit("c"), _text(c("p_partkey"))).alias("name"), F.when(c("p_partkey") % 3 == 0, "Interface").when(c("p_partkey") % 3 == 1, "Class").otherwise("Function").alias("label"))
+    return resolve.inheritance(part.select(c("p_partkey").alias("source_id"), F.concat(lit("c"), _text(c("p_partkey") * 7 + 1)).alias("base")), nodes)
 
 
 def _overrides(line):
@@ -91,7 +90,7 @@ LANGUAGES, STRATEGIES = ("Perl", "TypeScript", "Go"), ("same_module", "import_ma
 
 def _weak(part):
     pick = lambda xs, at: F.element_at(F.array(*map(lit, xs)), (at % len(xs) + 1).cast("int"))
-    rows = part.select("p_partkey", pick(LANGUAGES, KEY).alias("language"), pick(STRATEGIES, c("p_size")).alias("strategy"), (F.length("p_name") % 2 == 0).alias("is_method"))
+    rows = part.select("p_partkey", pick(LANGUAGES, c("p_partkey")).alias("language"), pick(STRATEGIES, c("p_size")).alias("strategy"), (F.length("p_name") % 2 == 0).alias("is_method"))
     return resolve.without_weak(rows)
 
 
@@ -110,9 +109,9 @@ def _dependencies(spark, sf_dir):
 
 
 def _file_references(part):
-    path = F.concat(lit("src/"), _brand(), lit("/f"), _text(KEY), lit(".py"))
-    base = F.concat(lit("f"), _text(KEY), lit(".py"))
-    return resolve.file_references(part.select(F.when(KEY % 2 == 0, path).otherwise(base).alias("text")), part.select(path.alias("path")))
+    path = F.concat(lit("src/"), _brand(), lit("/f"), _text(c("p_partkey")), lit(".py"))
+    base = F.concat(lit("f"), _text(c("p_partkey")), lit(".py"))
+    return resolve.file_references(part.select(F.when(c("p_partkey") % 2 == 0, path).otherwise(base).alias("text")), part.select(path.alias("path")))
 
 
 def _route_nodes(pages):
@@ -135,21 +134,21 @@ def _topics(spark, sf_dir):
 
 def _member_calls(spark, sf_dir):
     part = _read(spark, sf_dir, "part")
-    line = _read(spark, sf_dir, "lineitem").join(part.select(KEY.alias("l_partkey"), _brand().alias("brand")), "l_partkey")
+    line = _read(spark, sf_dir, "lineitem").join(part.select(c("p_partkey").alias("l_partkey"), _brand().alias("brand")), "l_partkey")
     file, name = F.concat(lit("o"), _text(c("l_orderkey"))), lambda key: F.concat(lit("f"), _text(key % 2))
     calls = line.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("call_id"), file.alias("file"), name(c("l_partkey")).alias("name")).distinct()
     specifiers = line.select(file.alias("file"), F.concat(lit("./"), c("brand"), lit("/m"), _text(c("l_partkey")), lit(".py")).alias("text"))
-    symbols = part.select(_brand().alias("member"), F.concat(lit("lib/"), _brand(), lit("/m"), _text(KEY), lit(".py")).alias("path"), name(KEY).alias("name"), KEY.alias("id"))
+    symbols = part.select(_brand().alias("member"), F.concat(lit("lib/"), _brand(), lit("/m"), _text(c("p_partkey")), lit(".py")).alias("path"), name(c("p_partkey")).alias("name"), c("p_partkey").alias("id"))
     return resolve.member_calls(calls, specifiers, symbols)
 
 
 def _tags(part):
-    decorated = part.select(KEY.alias("id"), F.concat_ws(".", lit("app.get"), F.regexp_replace("p_name", " ", "_"), "p_type", F.concat(lit("only"), _text(KEY))).alias("decorator"))
+    decorated = part.select(c("p_partkey").alias("id"), F.concat_ws(".", lit("app.get"), F.regexp_replace("p_name", " ", "_"), "p_type", F.concat(lit("only"), _text(c("p_partkey")))).alias("decorator"))
     return resolve.decorator_tags(decorated).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 def _anchors(spark, sf_dir):
-    symbols = _read(spark, sf_dir, "part").select(F.concat(lit("s"), _text(KEY - F.when(KEY % 10 == 9, 1).otherwise(0))).alias("qualified_name"), F.concat(lit("h"), _text(KEY)).alias("hash"))
+    symbols = _read(spark, sf_dir, "part").select(F.concat(lit("s"), _text(c("p_partkey") - F.when(c("p_partkey") % 10 == 9, 1).otherwise(0))).alias("qualified_name"), F.concat(lit("h"), _text(c("p_partkey"))).alias("hash"))
     key, kind = c("o_orderkey"), c("o_orderkey") % 5
     records = _read(spark, sf_dir, "orders").select(key.alias("id"), F.when(kind > 0, F.concat(lit("s"), _text(key))).alias("anchor"), F.when(kind == 1, F.concat(lit("h"), _text(key))).when(kind == 2, "edited").when(kind == 3, F.concat(lit("h"), _text(key % 100))).alias("hash"))
     return resolve.anchors(records, symbols)
@@ -171,9 +170,9 @@ def _validated(spark, sf_dir):
 def _imported(spark, sf_dir):
     """Calls by an imported alias (import_map), and below an imported package (import_map_suffix)."""
     part = _read(spark, sf_dir, "part")
-    symbols = part.select(F.concat_ws(".", lit("lib"), _brand(), F.concat(lit("m"), _text(KEY % 7)), F.concat(lit("f"), _text(KEY))).alias("qualified_name"))
-    callee = F.concat(lit("b."), F.when(KEY % 2 == 0, F.concat(lit("m"), _text(KEY % 7), lit("."))).otherwise(""), lit("f"), _text(KEY))
-    calls = part.select(KEY.alias("call_id"), _brand().alias("module"), callee.alias("callee"), F.array().cast("array<string>").alias("imports"))
+    symbols = part.select(F.concat_ws(".", lit("lib"), _brand(), F.concat(lit("m"), _text(c("p_partkey") % 7)), F.concat(lit("f"), _text(c("p_partkey")))).alias("qualified_name"))
+    callee = F.concat(lit("b."), F.when(c("p_partkey") % 2 == 0, F.concat(lit("m"), _text(c("p_partkey") % 7), lit("."))).otherwise(""), lit("f"), _text(c("p_partkey")))
+    calls = part.select(c("p_partkey").alias("call_id"), _brand().alias("module"), callee.alias("callee"), F.array().cast("array<string>").alias("imports"))
     imports = part.select(_brand().alias("module"), lit("b").alias("alias"), F.concat(lit("lib."), _brand()).alias("target")).distinct()
     return resolve.resolve(calls, symbols, imports)
 

@@ -1,7 +1,10 @@
 """Registered queries read whole tables."""
 
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 from graphloom.operators import vector as v
 from graphloom.plans import compiler
@@ -39,3 +42,13 @@ def test_language_queries_have_no_ceiling(spark, monkeypatch):
     assert compiler.cypher(graph, text).count() == 5
     found = [compiler.answered(graph, text, n) for n in (0, customers - 1, customers)]
     assert [(df.count(), cut) for df, cut in found] == [(5, True), (customers - 1, True), (customers, False)]
+
+
+def test_registry_needs_no_session():
+    code = "from graphloom.queries import all_queries; q, sql = all_queries(); assert q and set(sql) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True)
+
+
+def test_entry_vectors_have_length_one(spark):
+    folder = "/root/testdata/sf0.001"
+    assert {r.length for r in all_queries()[0]["vs_entry_vectors"](spark, folder).collect()} == {1.0}
