@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import expanded_tokens
-from graphloom.operators.vector import index_vector, normalised, summed
+from graphloom.operators.vector import indexed, normalised
 
 #: Neighbours and words of a node, entries of its lists, signature bits, bands of them, candidates of a node.
 MOST_NEIGHBOURS, MOST_TOKENS, MOST_ENTRIES = 64, 512, 16
@@ -41,9 +41,25 @@ def node_tokens(nodes: DataFrame, calls: DataFrame) -> DataFrame:
 
 def entry_vectors(entries: DataFrame, dim: int = 768) -> DataFrame:
     """id, vector: the unit sum of the index vectors of a node's entries (id, entry); an entry that is there twice counts twice."""
-    counted = entries.groupBy("id", "entry").agg(F.count("*").cast("double").alias("n"))
-    made = counted.select("id", "n", index_vector(F.col("entry"), dim).alias("vector"))
-    return summed(made, "id", "vector", F.col("n")).select("id", normalised(F.col("vector")).alias("vector"))
+    return indexed(entries, "id", "entry", dim).select("id", normalised(F.col("vector")).alias("vector"))
+
+
+def text_vectors(texts: DataFrame, tokens: str, dim: int = 768) -> DataFrame:
+    """What entry_vectors gives of each id's distinct tokens, of texts (id, tokens) with an array of tokens each.
+
+    Tokens are made distinct within the row, so they needn't be shuffled. Only those of ids with several rows are, if there are
+    any; where these have most rows, all are, which is less than to shuffle texts to tell them apart.
+    """
+    each = lambda df: df.select("id", F.explode(F.array_distinct(tokens)).alias("entry"))
+    counts = texts.groupBy("id").agg(F.count("*").alias("n"))
+    n, many = counts.agg(F.sum("n"), F.sum(F.when(F.col("n") > 1, F.col("n")))).first()
+    if not many:
+        return entry_vectors(each(texts), dim)
+    if 2 * many > n:
+        return entry_vectors(each(texts).distinct(), dim)
+    several = counts.filter("n > 1").select(F.col("id").alias("_id"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    return entry_vectors(each(texts), dim).join(several, same, "left_anti").unionByName(entry_vectors(each(texts.join(several, same, "left_semi")).distinct(), dim))
 
 
 def api_vectors(nodes: DataFrame, calls: DataFrame, dim: int = 768) -> DataFrame:

@@ -25,8 +25,8 @@ def cosine(x: Column, y: Column) -> Column:
 
 
 def normalised(x: Column) -> Column:
-    n = norm(x)
-    return F.transform(x, lambda v: F.when(n < TINY, F.lit(0.0)).otherwise(v.cast("double") / n))
+    """The length is bound once, not computed for each element."""
+    return F.transform(F.array(norm(x)), lambda n: F.transform(x, lambda v: F.when(n < TINY, F.lit(0.0)).otherwise(v.cast("double") / n)))[0]
 
 
 def blended(x: Column, y: Column, share: float = 0.7) -> Column:
@@ -112,6 +112,21 @@ def index_vector(token: Column, dim: int = 768, entries: int = 8) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: value(i).cast("double"))
 
 
+def indexed(rows: DataFrame, key: str, token: str, dim: int = 768, entries: int = 8) -> DataFrame:
+    """key, vector: the sum of the index_vector of each of a key's tokens, from the places that a token has and not from all of dim.
+
+    Only sums by place are shuffled, added up before that, so a key's rows may be any share of all.
+    """
+    h = lambda k: F.xxhash64(F.col(token), F.lit(k))
+    # Twice the place, and 1 for +1: one int for each entry, in the plan's generated code.
+    codes = rows.select(key, F.explode(F.array(*((F.pmod(h(k), F.lit(dim)) * 2 + h(k + 1000).bitwiseAND(1)).cast("int") for k in range(entries)))).alias("_c"))
+    sums = codes.groupBy(key, F.shiftright("_c", 1).alias("_at")).agg(F.sum(F.col("_c").bitwiseAND(1) * 2 - 1).cast("double").alias("_v"))
+    p = F.col("_p")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    filled = F.flatten(F.transform(p, lambda x, i: F.concat(zeros(x["_at"] - F.coalesce(F.get(p, i - 1)["_at"], F.lit(-1)) - 1), F.array(x["_v"]))))
+    return sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_p")).select(key, F.concat(filled, zeros(dim - 1 - F.element_at(p, -1)["_at"])).alias("vector"))
+
+
 def co_occurrence(tokens: DataFrame, window: int = 5) -> DataFrame:
     """token, near, weight of tokens (doc, at, token): 1 / distance within the window, summed. Each row meets at most 2 window others, by place."""
     shifted = tokens.select("doc", F.col("at").alias("place"), F.col("token").alias("near"))

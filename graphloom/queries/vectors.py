@@ -106,9 +106,8 @@ def _refreshed(spark, sf_dir):
 
 
 def _mean_documents(spark, sf_dir):
-    """Unit vectors of documents from the weights of their words, by the words' index vectors: their length."""
-    e = _tokens(spark, sf_dir).groupBy(F.col("doc").alias("id"), F.col("token").alias("entry")).agg(F.count("*").alias("n"))
-    return sem.entry_vectors(e.select("id", "entry"), 16).select("id", F.round(v.norm(F.col("vector")), 4).alias("length")).filter("length > 0")
+    """Unit vectors of documents from their distinct words, by the words' index vectors: their length."""
+    return sem.text_vectors(_documents(spark, sf_dir), "tokens", 16).select("id", F.round(v.norm(F.col("vector")), 4).alias("length")).filter("length > 0")
 
 
 QUERIES = {
